@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import token_files
+from . import mixing, token_files
 from ._shared import documents
 
 
@@ -12,15 +12,55 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Weight schedules of the sources in turn; their integrals are 1, 2 and 3.
+MIX_SCHEDULES = (((0, 1.5), (1, 0.5)), ((0, 2), (1, 2)), ((0, 1.5), (0.5, 3), (1, 4.5)))
+
+
+def op1_mix_sources(spark, sf_dir):
+    return mixing.mix_sources(documents(spark, sf_dir), MIX_SCHEDULES).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight
+  FROM d GROUP BY source
+), r AS (
+  SELECT *, 3.0 * source_size::DOUBLE / weight AS ratio, sum(source_size) OVER ()::DOUBLE AS whole FROM s
+), c AS (
+  SELECT *, (whole - coalesce(sum(3.0 * source_size::DOUBLE) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+         / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r
+), l AS (
+  SELECT level FROM c WHERE level <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1
+), t AS (
+  SELECT source, source_size, least(3.0 * source_size::DOUBLE, weight * (SELECT level FROM l)) AS target FROM c
+), p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       (greatest(0, least(size, round(target)::BIGINT - earlier))
+        + greatest(0, least(size, round(target)::BIGINT - earlier - source_size))
+        + greatest(0, least(size, round(target)::BIGINT - earlier - 2 * source_size)))::BIGINT AS taken
+FROM p
+"""
+
+
 def op10_token_ids(spark, sf_dir):
     return token_files.token_digest(spark, documents(spark, sf_dir), tokenizer_path())
 
 
 def queries():
     return {
+        "op1_mix_sources": op1_mix_sources,
         "op10_token_ids": op10_token_ids,
     }
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op1_mix_sources": OP1_SQL,
+    }
