@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, token_files
+from . import mixing, token_files, url_filter
 from ._shared import documents
 
 
@@ -49,6 +49,64 @@ FROM p
 """
 
 
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+def op6_url_filter(spark, sf_dir):
+    return url_filter.filter_urls(documents(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP6_SQL = r"""
+WITH u AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages
+), rules(rule, rh, rp, act) AS (
+  VALUES ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'), ('net/de/', 'net', '/de/', 'allow'),
+         ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')
+), m AS (
+  SELECT u.*, (SELECT max_by(rule, length(rule)) FROM rules WHERE (u.host = rh OR ends_with(u.host, '.' || rh)) AND starts_with(u.path, rp)) AS rule FROM u
+), a AS (
+  SELECT m.*, rules.act FROM m LEFT JOIN rules USING (rule)
+), h AS (
+  SELECT host, regexp_extract(host, '([^.]*\.)?[^.]*$', 0) AS domain, regexp_extract(host, '[^.]*$', 0) AS suffix,
+         count(act)::DOUBLE AS n, count_if(coalesce(act = 'block', FALSE))::DOUBLE AS bad
+  FROM a GROUP BY host
+), s0 AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad, coalesce(sum(sum(bad)) OVER () / nullif(sum(sum(n)) OVER (), 0), 0.0) AS parent FROM h GROUP BY suffix
+), s1 AS (
+  SELECT count(*)::DOUBLE AS k, sum(n) AS n, sum(bad) / sum(n) * (1 - sum(bad) / sum(n)) AS noise, sum(n * n) AS sq, sum(n * (bad / n - parent) * (bad / n - parent)) AS s FROM s0 WHERE n > 0
+), s2 AS (
+  SELECT CASE WHEN k < 2 OR n IS NULL OR noise <= 0 OR n - sq / n - (k - 1) <= 0 THEN 1.0
+         ELSE 1 / least(greatest((s - noise * (k - 1)) / (noise * (n - sq / n - (k - 1))), 1e-3), 0.5) - 1 END AS strength FROM s1
+), s AS (
+  SELECT suffix, (strength * parent + bad) / (strength + n) AS rate FROM s0, s2
+), d0 AS (
+  SELECT h.domain, h.suffix, sum(h.n) AS n, sum(h.bad) AS bad, any_value(s.rate) AS parent FROM h JOIN s USING (suffix) GROUP BY 1, 2
+), d1 AS (
+  SELECT count(*)::DOUBLE AS k, sum(n) AS n, sum(bad) / sum(n) * (1 - sum(bad) / sum(n)) AS noise, sum(n * n) AS sq, sum(n * (bad / n - parent) * (bad / n - parent)) AS s FROM d0 WHERE n > 0
+), d2 AS (
+  SELECT CASE WHEN k < 2 OR n IS NULL OR noise <= 0 OR n - sq / n - (k - 1) <= 0 THEN 1.0
+         ELSE 1 / least(greatest((s - noise * (k - 1)) / (noise * (n - sq / n - (k - 1))), 1e-3), 0.5) - 1 END AS strength FROM d1
+), d AS (
+  SELECT domain, suffix, (strength * parent + bad) / (strength + n) AS rate FROM d0, d2
+), h0 AS (
+  SELECT h.host, h.n, h.bad, d.rate AS parent FROM h JOIN d USING (domain, suffix)
+), h1 AS (
+  SELECT count(*)::DOUBLE AS k, sum(n) AS n, sum(bad) / sum(n) * (1 - sum(bad) / sum(n)) AS noise, sum(n * n) AS sq, sum(n * (bad / n - parent) * (bad / n - parent)) AS s FROM h0 WHERE n > 0
+), h2 AS (
+  SELECT CASE WHEN k < 2 OR n IS NULL OR noise <= 0 OR n - sq / n - (k - 1) <= 0 THEN 1.0
+         ELSE 1 / least(greatest((s - noise * (k - 1)) / (noise * (n - sq / n - (k - 1))), 1e-3), 0.5) - 1 END AS strength FROM h1
+), h3 AS (
+  SELECT host, n, strength, (strength * parent + bad) / (strength + n) AS rate FROM h0, h2
+), r AS (
+  SELECT host, rate - 1.645 * sqrt(rate * (1 - rate) / (strength + 1 + n)) AS bound FROM h3
+)
+SELECT a.page_id, a.host, a.path, a.rule, coalesce(a.act, CASE WHEN r.bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(r.bound, 6) AS bound
+FROM a LEFT JOIN r USING (host)
+"""
+
+
 def op10_token_ids(spark, sf_dir):
     return token_files.token_digest(spark, documents(spark, sf_dir), tokenizer_path())
 
@@ -56,6 +114,7 @@ def op10_token_ids(spark, sf_dir):
 def queries():
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op6_url_filter": op6_url_filter,
         "op10_token_ids": op10_token_ids,
     }
 
@@ -63,4 +122,5 @@ def queries():
 def oracle_sql():
     return {
         "op1_mix_sources": OP1_SQL,
+        "op6_url_filter": OP6_SQL,
     }
