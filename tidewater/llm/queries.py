@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, token_files, url_filter
+from . import mixing, quality_rules, token_files, url_filter
 from ._shared import documents
 
 
@@ -107,6 +107,11 @@ FROM a LEFT JOIN r USING (host)
 """
 
 
+def op8_quality_rules(spark, sf_dir):
+    got = quality_rules.judge(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_token_ids(spark, sf_dir):
     return token_files.token_digest(spark, documents(spark, sf_dir), tokenizer_path())
 
@@ -115,6 +120,7 @@ def queries():
     return {
         "op1_mix_sources": op1_mix_sources,
         "op6_url_filter": op6_url_filter,
+        "op8_quality_rules": op8_quality_rules,
         "op10_token_ids": op10_token_ids,
     }
 
