@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, token_files, url_filter
+from . import mixing, quality_rules, token_files, toxicity, url_filter
 from ._shared import documents
 
 
@@ -49,6 +49,12 @@ FROM p
 """
 
 
+def op5_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit_toxicity(docs, documents(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs.select("doc_id", "text"), model).drop("text")
+
+
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 
@@ -119,6 +125,7 @@ def op10_token_ids(spark, sf_dir):
 def queries():
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op5_toxicity": op5_toxicity,
         "op6_url_filter": op6_url_filter,
         "op8_quality_rules": op8_quality_rules,
         "op10_token_ids": op10_token_ids,
