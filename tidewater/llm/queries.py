@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, token_files, toxicity, url_filter
+from . import mixing, near_dedup, quality_rules, token_files, toxicity, url_filter
 from ._shared import documents
 
 
@@ -49,6 +49,10 @@ FROM p
 """
 
 
+def op2_near_duplicates(spark, sf_dir):
+    return near_dedup.near_duplicates(documents(spark, sf_dir)).drop("fp")
+
+
 def op5_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir)
     model = toxicity.fit_toxicity(docs, documents(spark, sf_dir, "labels"))
@@ -125,6 +129,7 @@ def op10_token_ids(spark, sf_dir):
 def queries():
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_near_duplicates": op2_near_duplicates,
         "op5_toxicity": op5_toxicity,
         "op6_url_filter": op6_url_filter,
         "op8_quality_rules": op8_quality_rules,
