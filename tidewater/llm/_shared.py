@@ -113,6 +113,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
+def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """About n rows, chosen by the hash of ``key`` against a threshold from the row count: nothing is sorted or gathered."""
+    share = min(1.0, n / max(1, df.count()))
+    return df.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + (share == 1)))
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 

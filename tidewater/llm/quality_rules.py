@@ -5,7 +5,7 @@ over, or at or under, a threshold) by information gain on two thirds of the labe
 from its end on the last third, kept if it is mostly right there, and the rows it covers are
 removed before the next rule. The list becomes one ordered Spark conditional expression.
 
-The fit takes at most ``max_rows`` labelled rows, chosen by the hash of their id, to the driver (20,000 rows of about
+The fit takes about ``max_rows`` labelled rows at most, chosen by the hash of their id, to the driver (20,000 rows of about
 15 numbers); statistics and verdicts cover every row.
 
 Edge cases: null and empty texts have all counts 0 (and so fail the base rule of 50 words); null or
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import gram_hashes, mix, prefix_hash, range_hash, slices, stash, word_bounds
+from ._shared import bounded_sample, gram_hashes, mix, prefix_hash, range_hash, slices, stash, word_bounds
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_short_lines")
 SYMBOLS = b"#*$%&|<>"
@@ -231,8 +231,9 @@ def fit_rules(stats: DataFrame, labels: DataFrame, label_col: str = "quality", m
     """Learn from the labelled rows of ``stats``; a label of 0 is bad."""
     given = labels.where(F.col(label_col).isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min(label_col).alias("_label"))
     names = shares()
-    rows = stats.join(given, F.col("doc_id") == F.col("_id")).select(F.xxhash64("doc_id").alias("_h"), "doc_id", "_label", *[c.alias(k) for k, c in names.items()])
-    got = rows.orderBy("_h", "doc_id", *names).limit(max_rows).toPandas()
+    given = bounded_sample(given, "_id", max_rows)
+    rows = stats.join(F.broadcast(given), F.col("doc_id") == F.col("_id")).select(F.xxhash64("doc_id").alias("_h"), "_label", *[c.alias(k) for k, c in names.items()])
+    got = rows.toPandas().sort_values(["_h", *names])
     return learn_rules({k: got[k].to_numpy(float) for k in names}, (got["_label"] == 0).to_numpy(), **options)
 
 

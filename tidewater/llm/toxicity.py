@@ -6,7 +6,7 @@ and attached punctuation do not hide them. The features are the words whose docu
 most between toxic and other labelled documents. The result is the expected grade, and a document
 is toxic if a grade of one or more is at least as likely as not.
 
-The fit uses at most ``max_rows`` labelled documents, chosen by the hash of their id; word counts over them are
+The fit uses about ``max_rows`` labelled documents at most, chosen by the hash of their id; word counts over them are
 made by Spark and only the chosen words (at most ``max_terms``) and the rows' indices of those
 reach the driver. Scoring reads every whole text once.
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import prefix_hash, range_hash, slices, stash
+from ._shared import bounded_sample, prefix_hash, range_hash, slices, stash
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -114,7 +114,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", i
     none = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.array([40.0, 41.0]))
     given = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("grade"))
     # bounded by max_rows, so it may be broadcast
-    given = given.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    given = bounded_sample(given, "_id", max_rows)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("text")).join(F.broadcast(given), "_id").dropDuplicates(["_id"]).select("_id", "grade", "text")
 
@@ -145,10 +145,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", i
     hashes = chosen["term"].to_numpy(np.int64)
     speak = set(chosen["term"][chosen["z"] >= min_z].tolist())
     wanted = F.array(*[F.lit(int(t)) for t in hashes])
-    got = rows.select("_id", "grade", F.array_intersect("terms", wanted).alias("hits")).orderBy("_id").toPandas()
+    got = rows.select("_id", "grade", F.array_intersect("terms", wanted).alias("hits")).toPandas().sort_values("_id")
     index = {t: k for k, t in enumerate(hashes.tolist())}
     x = np.zeros((len(got), len(hashes)), np.float32)
-    for r, hits in enumerate(got["hits"]):
+    for r, hits in enumerate(got["hits"].tolist()):
         x[r, [index[t] for t in hits]] = 1
     y = got["grade"].to_numpy(np.int64)
     if y.max() == 1:
