@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,20 +30,25 @@ from pyspark.sql import types as T
 from ._shared import shared_dir, slices
 
 OWN = ("doc_id", "part", "local_start", "n_tokens", "token_ids")
-#: Words whose ids a worker keeps; beyond it the memory is emptied and filled anew.
-MEMO_WORDS = 500_000
+#: Words whose ids a worker keeps in each of two generations; a full one replaces the older.
+MEMO_WORDS = 350_000
 _encoders: dict = {}
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    For byte-level BPE without normaliser a space before a non-space always starts a new piece, so
-    a text may be cut there; each distinct word then goes through the library once and its ids
-    are reused. Any other tokenizer, or a text holding an added token, is encoded whole.
+    For byte-level BPE without normaliser a piece never runs from a non-space into a space or across a
+    single newline, nor from letters into ASCII punctuation. So a text is cut at spaces and newlines,
+    each distinct word (less its punctuation) goes through the library once, and its ids are reused. Runs of
+    white space are cut only before their last space; any other tokenizer, or a text holding an
+    added token, is encoded whole.
     """
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -53,53 +59,95 @@ class Encoder:
         self.cut = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout")
         self.added = [x["content"] for x in spec.get("added_tokens") or []]
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
-        self.memo: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         line = self.tok.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 else None
-        self.odd = re.compile(r" (?!\S)")
+        self.cut = self.cut and len(line) == 1
+        self.line, self.line_id = line[0], np.array(line[:1], self.dtype).tobytes()
         self.gap = re.compile(r" (?=\S)")
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
+    def _raw(self, text: str) -> bytes:
         # one text at a time: a batch call would start a thread pool in every worker
-        return [np.array(self.tok.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() for t in texts]
-
-    def _learn(self, words: set[str]) -> None:
-        memo = self.memo
-        if len(memo) + len(words) > MEMO_WORDS:
-            memo.clear()
-        plain, rest = [], []
-        for w in words:
-            (plain if self.line is not None and len(w) < 200 and w.split() == [w] else rest).append(w)
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
-            ids = np.array(self.tok.encode("\n".join([" " + w for w in some]), add_special_tokens=False).ids, self.dtype)
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _bulk(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces free of newlines, by one call over their lines."""
+        out: list[bytes] = []
+        size = self.dtype.itemsize
+        for at in range(0, len(pieces), 10_000):
+            got = self.tok.encode_batch_fast(["\n".join(pieces[at : at + 10_000])], add_special_tokens=False)
+            ids = np.array(got[0].ids, self.dtype)
             ends = np.flatnonzero(ids == self.line)
-            begins = np.concatenate([[0], ends + 1])
-            ends = np.concatenate([ends, [len(ids)]])
-            if len(begins) != len(some):
-                rest += some
-                continue
-            size, raw = self.dtype.itemsize, ids.tobytes()
-            for w, b, e in zip(some, (begins * size).tolist(), (ends * size).tolist()):
-                memo[w] = raw[b:e]
-        memo.update(zip(rest, self._raw([" " + w for w in rest])))
+            begins = np.concatenate([[0], ends + 1]) * size
+            ends = np.concatenate([ends, [len(ids)]]) * size
+            raw = ids.tobytes()
+            out += [raw[b:e] for b, e in zip(begins.tolist(), ends.tolist())]
+        return out
+
+    def _heads(self, heads: dict[str, bytes]) -> None:
+        """Fill in the ids of words free of trailing punctuation, from memory or from the library."""
+        young, old, new = self.young, self.old, []
+        for w in heads:
+            x = young.get(w)
+            if x is None:
+                x = old.get(w)
+                if x is None:
+                    new.append(w)
+                    continue
+                young[w] = x
+            heads[w] = x
+        after, others = [w for w in new if w[0] == "\n"], [w for w in new if w[0] != "\n"]
+        for some, ids in ((after, [self.line_id + x for x in self._bulk([w[1:] for w in after])]), (others, self._bulk([" " + w for w in others]))):
+            for w, x in zip(some, ids):
+                heads[w] = x
+                if len(w) < 100:
+                    young[w] = x
+        if len(young) > MEMO_WORDS:
+            self.old, self.young = young, {}
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of each word: one after a newline begins with it, any other follows a space."""
+        heads: dict[str, bytes] = {}
+        joined, tails = [], {}
+        for w in words:
+            head = w.rstrip(string.punctuation)
+            if len(head) != len(w) and head and (head[1:] if head[0] == "\n" else head).isalpha():
+                tail = w[len(head) :]
+                joined.append((w, head, tail))
+                heads[head] = tails[tail] = b""
+            else:
+                heads[w] = b""
+        self._heads(heads)
+        for t in tails:
+            tails[t] = self._raw(t)
+        for w, head, tail in joined:
+            heads[w] = heads[head] + tails[tail]
+        return heads
+
+    def _pieces(self, text: str) -> bytes:
+        """A text with runs of white space: cut only at a space before a non-space."""
+        return b"".join([self._raw(x if k == 0 else " " + x) for k, x in enumerate(self.gap.split(text))])
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """The ids of each text as bytes, with the end id."""
         cut: list = []
         for t in texts:
-            if not self.cut or any(a in t for a in self.added):
-                cut.append(None)
+            whole = not t or not self.cut or any(a in t for a in self.added)
+            cut.append(None if whole else ("\n" + t).replace("\n", " \n")[1:].split(" "))
+        words = set().union(*[c for c in cut if c])
+        odd = {w for w in words if not w or w[0].isspace() or w[-1].isspace()}
+        odd = {w for w in odd if w in ("", "\n") or w[0] != "\n" or w[1].isspace() or w[-1].isspace()}
+        many = {k for k, c in enumerate(cut) if c and not odd.isdisjoint(c)} if odd else set()
+        get, skip = self._learn(words - odd).__getitem__, len(self.line_id)
+        out = []
+        for k, (t, c) in enumerate(zip(texts, cut)):
+            if c is None:
+                out.append(self._raw(t) + end)
+            elif k in many:
+                out.append(self._pieces(t) + end)
             else:
-                cut.append(self.gap.split(t) if self.odd.search(t) else t.split(" "))
-        new = set().union(*[c[1:] for c in cut if c]) - self.memo.keys()
-        if new:
-            if len(self.memo) + len(new) > MEMO_WORDS:
-                new = set().union(*[c[1:] for c in cut if c])
-            self._learn(new)
-        firsts = self._raw([t if c is None else c[0] for t, c in zip(texts, cut)])
-        get = self.memo.__getitem__
-        return [f + end if c is None else b"".join([f, *map(get, c[1:]), end]) for f, c in zip(firsts, cut)]
+                out.append(b"".join(map(get, c))[skip:] + end)
+        return out
 
 
 def _encoder(path: str) -> Encoder:
