@@ -195,7 +195,7 @@ def _prune(rule: list[Condition], x: dict[str, np.ndarray], y: np.ndarray, left:
     return best
 
 
-def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 12, max_conditions: int = 4, min_right: float = 0.7, n_cuts: int = 64) -> list[Rule]:
+def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 12, max_conditions: int = 4, min_right: float = 0.9, n_cuts: int = 64) -> list[Rule]:
     """Rules for ``bad``, in the order found; rows are taken in the order given, every third prunes."""
     n = len(bad)
     rules: list[Rule] = []
