@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dedup, quality_rules, token_files, toxicity, url_filter
+from . import mixing, near_dedup, quality_rules, suffix_dedup, token_files, toxicity, url_filter
 from ._shared import documents
 
 
@@ -117,6 +117,10 @@ FROM a LEFT JOIN r USING (host)
 """
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(documents(spark, sf_dir)))
+
+
 def op8_quality_rules(spark, sf_dir):
     got = quality_rules.judge(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -132,6 +136,7 @@ def queries():
         "op2_near_duplicates": op2_near_duplicates,
         "op5_toxicity": op5_toxicity,
         "op6_url_filter": op6_url_filter,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op10_token_ids": op10_token_ids,
     }
