@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dedup, quality_rules, suffix_dedup, token_files, toxicity, url_filter
+from . import mixing, near_dedup, passage_dedup, quality_rules, suffix_dedup, token_files, toxicity, url_filter
 from ._shared import documents
 
 
@@ -53,6 +53,10 @@ def op2_near_duplicates(spark, sf_dir):
     return near_dedup.near_duplicates(documents(spark, sf_dir)).drop("fp")
 
 
+def op3_near_passages(spark, sf_dir):
+    return passage_dedup.near_passages(documents(spark, sf_dir))
+
+
 def op5_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir)
     model = toxicity.fit_toxicity(docs, documents(spark, sf_dir, "labels"))
@@ -134,6 +138,7 @@ def queries():
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_near_duplicates": op2_near_duplicates,
+        "op3_near_passages": op3_near_passages,
         "op5_toxicity": op5_toxicity,
         "op6_url_filter": op6_url_filter,
         "op7_suffix_dedup": op7_suffix_dedup,
