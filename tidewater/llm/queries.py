@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dedup, passage_dedup, quality_rules, suffix_dedup, token_files, toxicity, url_filter
+from pyspark.sql import functions as F
+
+from . import decontamination, mixing, near_dedup, passage_dedup, quality_rules, suffix_dedup, token_files, toxicity, url_filter
 from ._shared import documents
 
 
@@ -130,6 +132,11 @@ def op8_quality_rules(spark, sf_dir):
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_decontamination(spark, sf_dir):
+    got = decontamination.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    return got.select(F.col("id").alias("doc_id"), "item_id", F.round("cosine", 3).alias("cosine"), F.round("coverage", 6).alias("coverage"))
+
+
 def op10_token_ids(spark, sf_dir):
     return token_files.token_digest(spark, documents(spark, sf_dir), tokenizer_path())
 
@@ -143,6 +150,7 @@ def queries():
         "op6_url_filter": op6_url_filter,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_quality_rules": op8_quality_rules,
+        "op9_decontamination": op9_decontamination,
         "op10_token_ids": op10_token_ids,
     }
 
