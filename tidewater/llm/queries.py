@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, near_dedup, passage_dedup, quality_rules, suffix_dedup, token_files, toxicity, url_filter
+from . import decontamination, html_extract, mixing, near_dedup, passage_dedup, quality_rules, suffix_dedup, token_files, toxicity, url_filter
 from ._shared import documents
 
 
@@ -59,6 +59,10 @@ def op3_near_passages(spark, sf_dir):
     return passage_dedup.near_passages(documents(spark, sf_dir))
 
 
+def op4_html_extract(spark, sf_dir):
+    return html_extract.extract_main_text(documents(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir)
     model = toxicity.fit_toxicity(docs, documents(spark, sf_dir, "labels"))
@@ -146,6 +150,7 @@ def queries():
         "op1_mix_sources": op1_mix_sources,
         "op2_near_duplicates": op2_near_duplicates,
         "op3_near_passages": op3_near_passages,
+        "op4_html_extract": op4_html_extract,
         "op5_toxicity": op5_toxicity,
         "op6_url_filter": op6_url_filter,
         "op7_suffix_dedup": op7_suffix_dedup,
