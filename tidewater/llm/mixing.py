@@ -133,3 +133,23 @@ def training_order(mixed: DataFrame) -> DataFrame:
     """One row for each pass over a document, sorted by training position."""
     rows = mixed.select("doc_id", "source", F.posexplode("passes").alias("pass", "p")).select("doc_id", "source", "pass", "p.words", "p.position")
     return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+
+
+
+def take_mix(docs: DataFrame, schedules: Sequence[Schedule], max_epochs: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The columns of ``docs``, one row for each pass of the mix over a document, in training order.
+
+    A pass that takes fewer words than the text has keeps the text up to its last taken word."""
+    mixed = mix_sources(docs, schedules, max_epochs, id_col, source_col, text_col).where("taken > 0")
+    passes = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.explode("passes").alias("_p"))
+    # equal ids of one source and size share their place, so each row meets the passes of one of them
+    turn = Window.partitionBy("_id", "_source", "_size", F.col("_p.position")).orderBy(F.col("_p.words"))
+    passes = passes.withColumn("_turn", F.row_number().over(turn))
+    keyed = docs.withColumns({"_i": F.col(id_col).cast("long"), "_s": F.col(source_col).cast("string"), "_n": word_count(F.col(text_col).cast("string"))})
+    on = keyed["_i"].eqNullSafe(passes["_id"]) & keyed["_s"].eqNullSafe(passes["_source"]) & (keyed["_n"] == passes["_size"])
+    rows = keyed.join(passes.where("_turn = 1"), on)
+    # pieces of white space and the word after it; joined they are the text as it is
+    pieces = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    cut = F.when(F.col("_p.words") < F.col("_n"), F.array_join(F.slice(pieces, F.lit(1), F.col("_p.words").cast("int")), "")).otherwise(F.col(text_col))
+    rows = rows.withColumn(text_col, cut).withColumn("_at", F.col("_p.position"))
+    return rows.repartitionByRange("_at", "_i").sortWithinPartitions("_at", "_i").select(*docs.columns)
