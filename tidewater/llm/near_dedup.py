@@ -10,9 +10,9 @@ darts for each element; a text with an empty coordinate draws up to twice the ra
 Equal texts are collapsed first. Texts that share a band of coordinates are candidates: all pairs
 of groups up to ``all_pairs`` texts, else each text with the group's smallest member, and, round after
 round, each text outside the component of the group's best linked member (its hub) with that hub,
-until nothing new links; the texts then left outside are compared with every other component's members of their group
-whose verified distances to a common pivot leave room for a link (triangle inequality), so no text is
-dropped. Every candidate pair is verified by the exact Jaccard similarity of the shingle sets.
+until nothing new links; the texts then left outside are queries against all members of their groups, block by
+block, so no text is dropped and no pairs are emitted but links. Every candidate pair is verified by the exact Jaccard similarity of the
+shingle sets.
 
 Edge cases: null texts are empty; equal texts are always one class, so all empty texts are one; a text with fewer
 than five words has one shingle; null and repeated ids are kept, and each row gets its class; a
@@ -146,26 +146,59 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if got.where(F.col("sim") >= threshold).isEmpty():
             break
         tested = stash(tested.unionByName(got))
-    rest = _outside(seated, tested.unionByName(got), threshold, close)
-    last = stash(verify(rest, sets).where(F.col("sim") >= threshold).select("a", "b"))
+    last = stash(_outside_links(seated, many, sets, threshold))
     if not last.isEmpty():
         labels = components(links.union(last))
     return sig.select("id", "fp"), labels
 
 
-def _outside(seated: DataFrame, tested: DataFrame, threshold: float, close) -> DataFrame:
-    """Pairs between each text outside its group's main component and the members of other components, as far as the pivot allows."""
-    main = seated.groupBy("key", "comp").agg(F.countDistinct("node").alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
-    pivot = seated.groupBy("key").agg(F.min("node").alias("pivot"))
-    known = tested.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (F.lit(1.0) - F.col("sim")).alias("d"))
-    placed = seated.join(pivot, "key").join(known, ["node", "pivot"], "left")
-    placed = placed.withColumn("d", F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d"))).join(main, "key")
-    placed = stash(placed.select("key", "node", "n", "comp", "d", "main"))
-    odd = placed.where("comp <> main")
-    x, y = odd.select("key", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "comp", "d")]), placed
-    room = F.coalesce(F.abs(F.col("d") - F.col("_d")) <= F.lit(1 - threshold + 1e-9), F.lit(True))
-    pairs = x.join(y, "key").where((F.col("comp") != F.col("_comp")) & close(F.col("n"), F.col("_n")) & room)
-    return pairs.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+def _outside_links(seated: DataFrame, many: DataFrame, sets: DataFrame, threshold: float, block: int = 500_000) -> DataFrame:
+    """Links of the texts outside the main component of their large groups with all other members.
+
+    Groups that share members form a family. Its members, and the texts outside its main component as queries, are
+    dealt into blocks of about ``block`` shingles; each pair of blocks is compared through an inverted
+    index, and only one link for each query and component is emitted."""
+    family = components(many.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b"))).withColumnRenamed("comp", "family")
+    nodes = seated.select("node", "n", "comp").distinct().join(family, "node")
+    main = nodes.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("family").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
+    nodes = stash(nodes.join(main, "family").withColumn("query", F.col("comp") != F.col("main")))
+    load = F.ceil(F.sum("n") / F.lit(block)).cast("int")
+    deal = nodes.groupBy("family").agg(load.alias("bm"), F.coalesce(F.ceil(F.sum(F.when(F.col("query"), F.col("n"))) / F.lit(block)).cast("int"), F.lit(0)).alias("bq")).where("bq > 0")
+    rows = nodes.join(deal, "family")
+    some = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    mine = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    members = rows.select("family", "node", "comp", mine("bm").alias("i"), some("bq").alias("j"), F.lit(False).alias("query"))
+    queries = rows.where("query").select("family", "node", "comp", some("bm").alias("i"), mine("bq").alias("j"), F.lit(True).alias("query"))
+    both = members.unionByName(queries).join(sets, "node").select("family", "i", "j", "node", "comp", "query", "shingles")
+
+    def run(table: pa.Table) -> pa.Table:
+        node, comp = (np.asarray(table.column(c)).astype(np.int64) for c in ("node", "comp"))
+        query = np.asarray(table.column("query").combine_chunks().cast(pa.int8())).astype(bool)
+        lists = table.column("shingles").combine_chunks()
+        off = np.asarray(lists.offsets).astype(np.int64)
+        h = np.asarray(lists.values)
+        size = np.diff(off)
+        owner = np.repeat(np.arange(len(node)), size)
+        flat = h[off[0] : off[-1]]
+        of = ~query[owner]
+        order = np.argsort(flat[of], kind="stable")
+        keys, docs = flat[of][order], owner[of][order]
+        a, b = [], []
+        for q in np.flatnonzero(query):
+            x = h[off[q] : off[q + 1]]
+            lo, hi = np.searchsorted(keys, x, "left"), np.searchsorted(keys, x, "right")
+            n = hi - lo
+            if not n.sum():
+                continue
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both_ = np.bincount(docs[at], minlength=len(node))
+            hit = np.flatnonzero((both_ >= threshold * (size + size[q] - both_)) & (comp != comp[q]) & (both_ > 0))
+            _, first = np.unique(comp[hit], return_index=True)
+            a += [int(node[q])] * len(first)
+            b += node[hit[first]].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return both.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
