@@ -36,7 +36,7 @@ def _metrics_sql(dims: str, where: str = "") -> str:
     def one(m):
         if m.denominator is None:
             return f"round(sum({m.numerator}), 4) AS {m.name}" if m.numerator in ("spend", "revenue") else f"CAST(sum({m.numerator}) AS BIGINT) AS {m.name}"
-        return f"round(CAST(sum({m.numerator}) AS DOUBLE) / nullif(sum({m.denominator}), 0), 6) AS {m.name}"
+        return f"round(CAST(sum({m.numerator}) AS DOUBLE) / nullif(sum({m.denominator}), 0) + 1e-9, 6) AS {m.name}"
 
     cols = ", ".join(one(m) for m in semantic.METRICS.values())
     return with_views(f"SELECT {dims + ', ' if dims else ''}{cols} FROM mart {where} {'GROUP BY ' + dims if dims else ''}", "mart")
@@ -45,7 +45,8 @@ def _metrics_sql(dims: str, where: str = "") -> str:
 def _metrics(by=(), filters=None):
     def q(spark, d):
         df = semantic.compute_metrics(mart(spark, d), ALL, by, filters)
-        return df.select(*[F.round(c, 4 if c in ("spend", "revenue") else 6).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+        # ratios of exact decimals can lie on a rounding tie; the nudge settles it alike in both engines
+        return df.select(*[(F.round(c, 4) if c in ("spend", "revenue") else F.round(F.col(c) + 1e-9, 6)).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
 
     return q
 
