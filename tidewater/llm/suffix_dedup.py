@@ -260,12 +260,20 @@ def match_contexts(contexts: DataFrame, length: int, keep: str) -> DataFrame:
     """By block: spans whose strings also start in another context or elsewhere in the same."""
 
     def group(heads: np.ndarray, raw: bytes, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
-        # rows of the same context bytes count once; contexts stand in the order of their first row
+        # parts of different runs may be equal: they repeat each other whole, and the first stands for them below
         seen: dict[tuple[int, bytes], int] = {}
-        use = []
+        use, again = [], []
         for k, (key, b, n) in enumerate(zip(heads["key"].tolist(), begins.tolist(), heads["n"].tolist())):
-            if seen.setdefault((key, raw[b : b + n]), k) == k:
+            first = seen.setdefault((key, raw[b : b + n]), k)
+            if first == k:
                 use.append(k)
+            else:
+                again.append(k)
+                if keep == "none":
+                    again.append(first)
+        if again:
+            r = heads[np.unique(again)]
+            yield _table(r, r["s"] + r["n"])
         use = np.array(use)
         h, b = heads[use], begins[use]
         buf = np.frombuffer(b"".join([raw[x : x + m] for x, m in zip(b.tolist(), h["n"].tolist())]), np.uint8)
