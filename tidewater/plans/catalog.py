@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ("warehouse", "inference", "marketing", "risk", "forecast")
+PARTS = ("warehouse", "inference", "marketing", "risk", "forecast", "extras")
 
 
 def flagship(spark, sf_dir):
