@@ -57,7 +57,7 @@ class SimOutput:
 def simulate(spark: SparkSession, truth: Truth = DEFAULT) -> SimOutput:
     """Impressions, clicks and signups by day and channel; subscriptions, geometric lifetimes and 30-day bills by user."""
     start, names = dt.date.fromisoformat(truth.start), list(truth.channels)
-    days = spark.range(truth.horizon_days).select(F.col("id").alias("day")).crossJoin(spark.range(len(names)).select(F.col("id").alias("c")))
+    days = spark.range(truth.horizon_days * len(names)).select(F.floor(F.col("id") / len(names)).alias("day"), (F.col("id") % len(names)).alias("c"))
 
     def traffic(batches):
         for pdf in batches:
@@ -160,7 +160,7 @@ def mmm_market(seed: int = 4, days: int = 600) -> tuple[np.ndarray, np.ndarray,
 def daily_series(seed: int = 6, days: int = 600, shocks: int = 12) -> tuple[pd.DataFrame, np.ndarray]:
     """(t, y) with trend, season and shocks; the shock days."""
     rng, t = np.random.default_rng(seed), np.arange(days)
-    y = 1000 + 0.8 * t + np.array([0, 30, 50, 40, 120, -60, -110])[t % 7] + rng.normal(0, 20, days)
+    y = 1000 + 0.15 * t + np.array([0, 30, 50, 40, 120, -60, -110])[t % 7] + rng.normal(0, 20, days)
     at = np.sort(rng.choice(np.arange(30, days - 10), shocks, replace=False)) if shocks else np.zeros(0, int)
     y[at] += rng.choice([-1, 1], len(at)) * rng.uniform(250, 400, len(at))
     return pd.DataFrame({"t": t, "y": y}), at
