@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from ..functions.stats import one_row
 from .risk import auc
 
+#: The serving contract, in order.
 CHANNELS = ("display", "organic", "search", "social", "video")
 PLANS = ("basic", "pro")
+NUMERIC = ("tenure_days", "txn_count_obs", "total_spend_obs", "avg_txn_amount_obs", "days_since_last_txn", "txn_freq_monthly", "had_fraud_obs", "signup_dow", "signup_month")
 CUTOFF_DAYS, HORIZON_DAYS = 120, 30
 
 
 def feature_names(channels=CHANNELS, plans=PLANS) -> tuple[str, ...]:
-    return ("n_txns", "total_amount", "mean_amount", "max_amount", "any_fraud", "tenure_days", "days_since_last", "txn_frequency", "signup_dow", *(f"channel_{c}" for c in channels), *(f"plan_{p}" for p in plans))
+    return (*NUMERIC, *(f"channel_{c}" for c in channels), *(f"plan_{p}" for p in plans))
 
 
 def churn_features(signups: DataFrame, transactions: DataFrame, ad_spend: DataFrame | None = None, cutoff: int = CUTOFF_DAYS, horizon: int = HORIZON_DAYS, channels=CHANNELS, plans=PLANS) -> DataFrame:
@@ -41,19 +43,18 @@ def churn_features(signups: DataFrame, transactions: DataFrame, ad_spend: DataFr
     ahead = (F.col("_d") >= cutoff) & (F.col("_d") < cutoff + horizon)
     amount = F.when(seen, F.col("amount"))
     out = rows.groupBy("user_id", "signup_date", "channel", "plan").agg(
-        F.count(F.when(seen, 1)).alias("n_txns"),
-        F.coalesce(F.sum(amount), F.lit(0.0)).alias("total_amount"),
-        F.coalesce(F.avg(amount), F.lit(0.0)).alias("mean_amount"),
-        F.coalesce(F.max(amount), F.lit(0.0)).alias("max_amount"),
-        F.coalesce(F.bool_or(seen & F.col("is_fraud")), F.lit(False)).cast("int").alias("any_fraud"),
+        F.count(F.when(seen, 1)).alias("txn_count_obs"),
+        F.coalesce(F.sum(amount), F.lit(0.0)).alias("total_spend_obs"),
+        F.coalesce(F.avg(amount), F.lit(0.0)).alias("avg_txn_amount_obs"),
+        F.coalesce(F.bool_or(seen & F.col("is_fraud")), F.lit(False)).cast("int").alias("had_fraud_obs"),
         F.max(F.when(seen, F.col("_d"))).alias("_last"),
         F.when(F.count(F.when(ahead, 1)) == 0, 1).otherwise(0).alias("churned"),
     )
     last = F.greatest(F.coalesce("_last", F.lit(0)), F.lit(0))
     return out.select(
-        "user_id", "signup_date", "n_txns", "total_amount", "mean_amount", "max_amount", "any_fraud",
-        F.lit(cutoff).alias("tenure_days"), (F.lit(cutoff) - F.coalesce(last, F.lit(0))).alias("days_since_last"), (F.col("n_txns") / F.lit(cutoff / 30)).alias("txn_frequency"),
-        F.weekday("signup_date").alias("signup_dow"), *[(F.col("channel") == c).cast("int").alias(f"channel_{c}") for c in channels], *[(F.col("plan") == p).cast("int").alias(f"plan_{p}") for p in plans], "churned",
+        "user_id", "signup_date", F.lit(cutoff).alias("tenure_days"), "txn_count_obs", "total_spend_obs", "avg_txn_amount_obs", (F.lit(cutoff) - last).alias("days_since_last_txn"),
+        (F.col("txn_count_obs") / F.lit(cutoff / 30)).alias("txn_freq_monthly"), "had_fraud_obs",
+        F.weekday("signup_date").alias("signup_dow"), F.month("signup_date").alias("signup_month"), *[(F.col("channel") == c).cast("int").alias(f"channel_{c}") for c in channels], *[(F.col("plan") == p).cast("int").alias(f"plan_{p}") for p in plans], "churned",
     )
 
 

@@ -105,7 +105,7 @@ ORACLE = {
     ),
     "churn_features": with_views(
         _CHURN.format(cut=120, total=150)
-        + "SELECT user_id, signup_date, n_txns, round(total_amount, 4) AS total_amount, round(mean_amount, 4) AS mean_amount, round(max_amount, 4) AS max_amount, any_fraud, 120 AS tenure_days, (120 - last_k)::INTEGER AS days_since_last, round(n_txns / 4.0, 4) AS txn_frequency, (isodow(signup_date) - 1)::INTEGER AS signup_dow, "
+        + "SELECT user_id, signup_date, 120 AS tenure_days, n_txns AS txn_count_obs, round(total_amount, 4) AS total_spend_obs, round(mean_amount, 4) AS avg_txn_amount_obs, (120 - last_k)::INTEGER AS days_since_last_txn, round(n_txns / 4.0, 4) AS txn_freq_monthly, any_fraud AS had_fraud_obs, (isodow(signup_date) - 1)::INTEGER AS signup_dow, month(signup_date)::INTEGER AS signup_month, "
         + ", ".join(f"(channel = '{c}')::INTEGER AS channel_{c}" for c in SEGMENTS)
         + ", (plan = 'basic')::INTEGER AS plan_basic, (plan = 'pro')::INTEGER AS plan_pro, churned FROM g",
         "signups", "transactions", "ad_spend_daily",
