@@ -146,7 +146,7 @@ def find_runs(rows: DataFrame, length: int, gram: int, cells: int, keep: str) ->
     return rows.mapInArrow(run, "cell int, kind int, blob binary")
 
 
-def match_runs(found: DataFrame, length: int, split: int, keep: str) -> DataFrame:
+def match_runs(found: DataFrame, length: int, split: int, keep: str, cells: int) -> DataFrame:
     """By anchor: spans that repeat (level -1), and runs whose bytes are wanted (level 0 and up)."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -167,7 +167,8 @@ def match_runs(found: DataFrame, length: int, split: int, keep: str) -> DataFram
             out.append(_table(ask, ask["e"], ask["q"], level))
         return pa.Table.from_batches(out)
 
-    return found.groupBy("cell").applyInArrow(run, MARKS)
+    # as many partitions as cells, whose number follows the bytes: a task's share stays the same at any size
+    return found.repartition(cells, "cell").groupBy("cell").applyInArrow(run, MARKS)
 
 
 def fetch_contexts(rows: DataFrame, asked: DataFrame, length: int, gram: int, cells: int) -> DataFrame:
@@ -256,7 +257,7 @@ def factor_classes(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.nda
     return order, new
 
 
-def match_contexts(contexts: DataFrame, length: int, keep: str) -> DataFrame:
+def match_contexts(contexts: DataFrame, length: int, keep: str, cells: int) -> DataFrame:
     """By block: spans whose strings also start in another context or elsewhere in the same."""
 
     def group(heads: np.ndarray, raw: bytes, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -314,7 +315,7 @@ def match_contexts(contexts: DataFrame, length: int, keep: str) -> DataFrame:
             k = m
         return pa.Table.from_batches(out)
 
-    return contexts.groupBy("cell").applyInArrow(run, MARKS)
+    return contexts.repartition(cells, "cell").groupBy("cell").applyInArrow(run, MARKS)
 
 
 def repeated_spans(rows: DataFrame, length: int = 400, gram: int = 128, keep: str = "none", split: int = 4000, cell_bytes: int = 24_000_000) -> DataFrame:
@@ -324,9 +325,9 @@ def repeated_spans(rows: DataFrame, length: int = 400, gram: int = 128, keep: st
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = max(8, -(-total // cell_bytes))
     found = find_runs(rows, length, gram, cells, keep)
-    first = stash(match_runs(found, length, split, keep))
+    first = stash(match_runs(found, length, split, keep, cells))
     asked = first.where("level >= 0").select("id", "fp", "s", "e", "q", "level")
-    second = match_contexts(fetch_contexts(rows, asked, length, gram, cells), length, keep)
+    second = match_contexts(fetch_contexts(rows, asked, length, gram, cells), length, keep, cells)
     marks = first.where("level < 0").select("id", "fp", "s", "e").unionByName(second.select("id", "fp", "s", "e"))
     return marks.groupBy("id", "fp").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
