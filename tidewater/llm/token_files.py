@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import shared_dir, slices
+from ._shared import shared_dir, slices, small_batches
 
 OWN = ("doc_id", "part", "local_start", "n_tokens", "token_ids")
 #: Words whose ids a worker keeps in each of two generations; a full one replaces the older.
-MEMO_WORDS = 350_000
+MEMO_WORDS = 300_000
 _encoders: dict = {}
 
 
@@ -165,7 +165,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = 0, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, start = _encoder(tokenizer_path), 0
         end = np.array([end_id], enc.dtype).tobytes()
-        for rows, _, _ in slices(batches, text_col, 4_000_000):
+        for rows, _, _ in slices(batches, text_col, 3_000_000):
             texts = [t or "" for t in rows.column(rows.schema.get_field_index(text_col)).to_pylist()]
             raw = enc.encode(texts, end)
             n = np.array([len(r) // enc.dtype.itemsize for r in raw], np.int64)
@@ -189,7 +189,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     out = encode(rows, tokenizer_path, end_id, "_text").select("doc_id", "part", "local_start", "n_tokens", *meta_cols, "token_ids")
     write = out.write.option("compression", "zstd").option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("parquet.page.row.count.limit", 2000)
     write = write.option("parquet.enable.dictionary", str(encoding == "dictionary").lower()).option("parquet.writer.version", "PARQUET_1_0" if encoding == "dictionary" else "PARQUET_2_0")
-    write.parquet(path)
+    with small_batches(docs.sparkSession):
+        write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, columns: tuple[str, ...] = ()) -> DataFrame:
