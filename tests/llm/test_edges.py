@@ -326,3 +326,39 @@ def test_encoder_matches_library():
     texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(3000)]
     for t, raw in zip(texts, enc.encode(texts, b"")):
         assert np.frombuffer(raw, enc.dtype).tolist() == enc.tok.encode(t, add_special_tokens=False).ids
+
+
+def test_passages_against_brute_force(spark):
+    """Copies of a passage with one or two changed words: every pair that all windows would show is linked, in small and in large groups."""
+    from collections import Counter
+
+    r = np.random.default_rng(11)
+    rows, group = [], {}
+    for k in range(8):
+        base = words(80, 2000 + k).split()
+        for j in range(40 if k == 0 else 12):
+            w = list(base)
+            for at in r.choice(80, r.integers(1, 3), replace=False) if j else ():
+                w[at] = f"z{r.integers(10**9)}"
+            group[len(rows)] = k
+            rows.append((len(rows), " ".join(w)))
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for _, t in rows]
+    near = {(a, b) for a in group for b in group if a < b and group[a] == group[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    for parts, limit in ((1, 24), (5, 24), (3, 6)):
+        got = passage_dedup.near_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), all_pairs=limit).collect()
+        pairs = {tuple(sorted((x["doc_id"], x["other_id"]))) for x in got}
+        assert all(group[a] == group[b] and x["sim"] >= 0.8 for x in got for a, b in [(x["doc_id"], x["other_id"])])
+        top = {}
+
+        def root(x):
+            while top.get(x, x) != x:
+                x = top[x]
+            return x
+
+        for a, b in pairs:
+            top[root(a)] = root(b)
+        lost = Counter(group[a] for a, b in near if root(a) != root(b))
+        assert not lost
+        if limit == 24:
+            small = {p for p in near if group[p[0]]}
+            assert len(small - pairs) <= 0.03 * len(small)
