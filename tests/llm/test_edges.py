@@ -362,3 +362,16 @@ def test_passages_against_brute_force(spark):
         if limit == 24:
             small = {p for p in near if group[p[0]]}
             assert len(small - pairs) <= 0.03 * len(small)
+
+
+@pytest.mark.parametrize("tag", ['<svg class="i"/>', "<math/>", "<svg>", "<noscript>", "<object data='x'>", "<select><option>", "<canvas/>", "<svg-icon></svg-icon>", "<title-bar>", "<select-box>", "<object-view/>", "<svg><title/><path/></svg>", "<svg><svg>x</svg>y</svg>", "<script>'<svg>'</script x>"])
+def test_unclosed_elements_hide_nothing(tag):
+    page = f"<article><p>one</p>{tag}<p>rest of article</p></article>"
+    assert [b[0] for b in html_extract.cut_blocks(page)] == ["one", "rest of article"]
+    again = html_extract.cut_blocks(page + "<svg><text>hidden</text></svg><p>end</p>")
+    assert [b[0] for b in again] == ["one", "rest of article", "end"]
+
+
+def test_raw_text_hides_the_rest():
+    for name in ("script", "style", "title", "textarea", "iframe"):
+        assert [b[0] for b in html_extract.cut_blocks(f"<p>one</p><{name}><p>not shown</p>")] == ["one"]

@@ -11,7 +11,8 @@ references are decoded, white space inside a block becomes one space, ``<br>`` c
 space, and the blocks labelled main are joined by a newline in page order.
 
 Edge cases: a null html is empty and gives an empty text; broken markup (unclosed tags, quotes or comments,
-stray end tags) is cut as far as it goes; plain text without tags is one block; null or repeated
+stray end tags) is cut as far as it goes; only scripts, styles, titles, text areas and frames without an end tag hide
+the rest of a page; plain text without tags is one block; null or repeated
 ids are kept; an empty table gives no rows.
 """
 
@@ -34,11 +35,15 @@ from .toxicity import term_hashes
 
 PIECES = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|iframe|object|svg|math|canvas|textarea|select)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[/!?a-zA-Z][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
+#: Elements whose content is text up to their own end tag, or else to the page's end.
+RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for n in ("script", "style", "title", "textarea", "iframe")}
+FOREIGN = frozenset(("svg", "math"))
+#: Elements that do not show; one without a matching end tag hides nothing.
+UNSEEN = FOREIGN | {"noscript", "template", "object", "canvas", "select"}
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[a-z]+", re.I)
 #: Elements that start and end a block (the block-level elements of HTML, and those that act so).
@@ -58,6 +63,37 @@ def _slot(word: str) -> int:
     return zlib.crc32(word.encode()) % PATH_DIMS
 
 
+def shown_pieces(page: str) -> list[tuple[int, int, re.Match | None]]:
+    """(start, end, tag) of each piece of markup; what does not show is one piece without a tag."""
+    found: list[tuple[int, int, re.Match | None]] = []
+    open_: dict[str, list[int]] = {n: [] for n in UNSEEN}
+    ends: dict[int, int] = {}
+    at = 0
+    while m := PIECES.search(page, at):
+        at, tag = m.end(), m
+        name = (m[2] or "").lower()
+        empty = bool(m[3]) and m[3].endswith("/")
+        if name in RAW and not m[1]:
+            if not (empty and any(open_[n] for n in FOREIGN)):
+                end = RAW[name].search(page, at)
+                at, tag = end.end() if end else len(page), None
+        elif name in UNSEEN:
+            if m[1]:
+                if open_[name]:
+                    ends[open_[name].pop()] = len(found)
+            elif not (empty and name in FOREIGN):
+                open_[name].append(len(found))
+        found.append((m.start(), at, tag))
+    if not ends:
+        return found
+    out, k = [], 0
+    while k < len(found):
+        last = ends.get(k)
+        out.append(found[k] if last is None else (found[k][0], found[last][1], None))
+        k = k + 1 if last is None else last + 1
+    return out
+
+
 def cut_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
     """(text, path of tags and names, share of the text inside links) of each leaf block that has text."""
     out: list[tuple[str, tuple[str, ...], float]] = []
@@ -78,24 +114,23 @@ def cut_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         linked = 0
 
     at = 0
-    for m in PIECES.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
+    for start, end, m in shown_pieces(page):
+        if start > at:
+            parts.append(page[at:start])
             if link:
-                linked += m.start() - at
-        at = m.end()
-        name = m[3]
-        if name is None:
+                linked += start - at
+        at = end
+        if m is None or m[2] is None:
             continue
-        name = name.lower()
+        name = m[2].lower()
         if name == "a":
-            link = 0 if m[2] else 1
+            link = 0 if m[1] else 1
         elif name == "br":
             parts.append(" ")
         elif name in BLOCK:
             flush()
             link = 0
-            if m[2]:
+            if m[1]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
                         del stack[k:]
@@ -109,8 +144,8 @@ def cut_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
                         break
                 if name not in VOID:
                     own = (name,)
-                    if m[4] and "=" in m[4]:
-                        own += tuple(f".{w.lower()}" for g in NAMES.findall(m[4]) for w in WORDS.findall("".join(g)))
+                    if m[3] and "=" in m[3]:
+                        own += tuple(f".{w.lower()}" for g in NAMES.findall(m[3]) for w in WORDS.findall("".join(g)))
                     stack.append((name, (stack[-1][1] if stack else ()) + own))
             path = stack[-1][1] if stack else ()
     if at < len(page):
