@@ -375,3 +375,23 @@ def test_unclosed_elements_hide_nothing(tag):
 def test_raw_text_hides_the_rest():
     for name in ("script", "style", "title", "textarea", "iframe"):
         assert [b[0] for b in html_extract.cut_blocks(f"<p>one</p><{name}><p>not shown</p>")] == ["one"]
+
+
+def test_take_mix_gives_each_row_its_own_passes(spark, odd, empty):
+    rows = [(None, words(60, 700 + k), "s", "en", 0, 7, 1, 2, 3) for k in range(5)]
+    for docs in (odd, odd.unionByName(spark.createDataFrame(rows, SCHEMA)).repartition(3)):
+        mixed = mixing.mix_sources(docs, queries.MIX_SCHEDULES).collect()
+        got = mixing.take_mix(docs, queries.MIX_SCHEDULES).collect()
+        assert len(got) == sum(len(r["passes"]) for r in mixed)
+        size = {}
+        for r in got:
+            size[r["source"]] = size.get(r["source"], 0) + len(r["text"].split())
+        assert size == {r["source"]: round(r["target"]) for r in mixed if r["target"] > 0}
+        times = {}
+        for r in got:
+            times[r["doc_id"], r["text"]] = times.get((r["doc_id"], r["text"]), 0) + 1
+        copies = {}
+        for r in docs.collect():
+            copies[r["doc_id"], r["text"]] = copies.get((r["doc_id"], r["text"]), 0) + 1
+        assert all(n <= 3 * copies.get(k, 1) for k, n in times.items())
+    assert n(mixing.take_mix(empty, queries.MIX_SCHEDULES)) == 0

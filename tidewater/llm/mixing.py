@@ -91,11 +91,12 @@ def targets(sizes: DataFrame, schedules: Sequence[Schedule], max_epochs: int = 3
     return rows.select("source", "source_size", "kind", "weight", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, schedules: Sequence[Schedule], max_epochs: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mix_sources(docs: DataFrame, schedules: Sequence[Schedule], max_epochs: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", by_text: bool = False) -> DataFrame:
     """One row for each document: source, size, source_size, target, taken, passes (taken words and
-    position of each pass) and position (of the first pass), in the order of position."""
+    position of each pass) and position (of the first pass), in the order of position; with ``by_text`` also fp, the text's hash."""
     size = word_count(F.col(text_col).cast("string"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *([F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("fp")] if by_text else []))
+    tie = ["fp"] if by_text else []
     place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = stash(rows)
     # a third of the rows may have one source: buckets by the square root of all rows
@@ -110,7 +111,7 @@ def mix_sources(docs: DataFrame, schedules: Sequence[Schedule], max_epochs: int
     heads = small.join(aims, small["source"].eqNullSafe(aims["_source"])).select("source", "bucket", "_before", "source_size", "kind", "target")
     heads = heads.withColumnsRenamed({"source": "_s", "bucket": "_b"})
     rows = rows.join(heads, rows["source"].eqNullSafe(heads["_s"]) & (rows["bucket"] == heads["_b"]))
-    inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size", *tie).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_at", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     aim = F.round("target").cast("long")
 
@@ -125,7 +126,7 @@ def mix_sources(docs: DataFrame, schedules: Sequence[Schedule], max_epochs: int
 
     rows = rows.withColumn("passes", F.filter(F.array(*[one(e) for e in range(max_epochs)]), lambda p: p["words"] > 0))
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda a, p: a + p["words"])
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "passes", F.get("passes", 0)["position"].alias("position"))
+    rows = rows.select("doc_id", "source", "size", *tie, "source_size", "target", taken.alias("taken"), "passes", F.get("passes", 0)["position"].alias("position"))
     return rows.repartitionByRange(F.col("position").asc_nulls_last(), F.md5(F.col("doc_id").cast("string").cast("binary"))).sortWithinPartitions(F.col("position").asc_nulls_last())
 
 
@@ -140,14 +141,17 @@ def take_mix(docs: DataFrame, schedules: Sequence[Schedule], max_epochs: int = 3
     """The columns of ``docs``, one row for each pass of the mix over a document, in training order.
 
     A pass that takes fewer words than the text has keeps the text up to its last taken word."""
-    mixed = mix_sources(docs, schedules, max_epochs, id_col, source_col, text_col).where("taken > 0")
-    passes = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.explode("passes").alias("_p"))
-    # equal ids of one source and size share their place, so each row meets the passes of one of them
-    turn = Window.partitionBy("_id", "_source", "_size", F.col("_p.position")).orderBy(F.col("_p.words"))
-    passes = passes.withColumn("_turn", F.row_number().over(turn))
-    keyed = docs.withColumns({"_i": F.col(id_col).cast("long"), "_s": F.col(source_col).cast("string"), "_n": word_count(F.col(text_col).cast("string"))})
-    on = keyed["_i"].eqNullSafe(passes["_id"]) & keyed["_s"].eqNullSafe(passes["_source"]) & (keyed["_n"] == passes["_size"])
-    rows = keyed.join(passes.where("_turn = 1"), on)
+    key = lambda i, s, n, fp: F.xxhash64(F.col(i).isNull(), i, F.col(s).isNull(), s, n, fp)
+    mixed = mix_sources(docs, schedules, max_epochs, id_col, source_col, text_col, by_text=True)
+    # rows equal in id, source and text have places of their own: each takes the passes of one of them
+    some = mixed.groupBy(key("doc_id", "source", "size", "fp").alias("_k")).agg(F.sort_array(F.collect_list(F.struct(F.col("position").isNull().alias("z"), "position", "passes"))).alias("_rows"), F.sum("taken").alias("_t"))
+    some = some.where("_t > 0").select(F.col("_k").alias("_key"), F.col("_rows.passes").alias("_passes"))
+    keyed = docs.withColumns({"_i": F.col(id_col).cast("long"), "_s": F.col(source_col).cast("string"), "_n": word_count(F.col(text_col).cast("string")), "_fp": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    keyed = keyed.withColumn("_k", key("_i", "_s", "_n", "_fp"))
+    rows = keyed.join(some, keyed["_k"] == some["_key"])
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind]
+    turn = F.row_number().over(Window.partitionBy("_k").orderBy(F.xxhash64(*plain)))
+    rows = rows.withColumn("_turn", turn).withColumn("_p", F.explode(F.get("_passes", F.col("_turn") - 1)))
     # pieces of white space and the word after it; joined they are the text as it is
     pieces = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     cut = F.when(F.col("_p.words") < F.col("_n"), F.array_join(F.slice(pieces, F.lit(1), F.col("_p.words").cast("int")), "")).otherwise(F.col(text_col))
