@@ -395,3 +395,22 @@ def test_take_mix_gives_each_row_its_own_passes(spark, odd, empty):
             copies[r["doc_id"], r["text"]] = copies.get((r["doc_id"], r["text"]), 0) + 1
         assert all(n <= 3 * copies.get(k, 1) for k, n in times.items())
     assert n(mixing.take_mix(empty, queries.MIX_SCHEDULES)) == 0
+
+
+def test_decontamination_beyond_one_batch(spark):
+    r = np.random.default_rng(3)
+    p = 1 / np.arange(1, 6001) ** 0.8
+    draw = lambda n: [f"w{x}" for x in r.choice(6000, n, p=p / p.sum())]
+    items = [draw(16) for _ in range(1000)] + [["w0", "w1", "w2"]]
+    docs = []
+    for k, x in enumerate(items):
+        near = list(x)
+        for j in r.choice(len(x), len(x) // 5, replace=False):
+            near[j] = f"other{k}"
+        docs += [(2 * k, " ".join(draw(40) + x + draw(40))), (2 * k + 1, " ".join(draw(40) + near + draw(40)))]
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(x["id"], x["item_id"]) for x in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(8), bench).collect()}
+    exact = [k for k in range(len(items)) if (2 * k, k) not in got]
+    near = [k for k in range(1000) if (2 * k + 1, k) not in got]
+    print("lost", len(exact), "exact,", len(near), "near of", len(items))
+    assert not exact and len(near) <= 10

@@ -5,9 +5,11 @@
 2. Passages are windows of ``window`` words at every half window of every document. One pass adds up Y = A'A G for
    the passage matrix A (and, heavily weighted, the items' rows, so that the latent space holds them) and a
    Gaussian G: a randomised SVD in Nystrom form, summed block by block over the cluster, whose
-   right singular vectors of A come from Y alone. The rank is the number of items, at most ``max_rank``.
-3. A second pass scores every passage against the items' unit vectors in the latent space; items with a
-   cosine over ``min_cosine`` are candidates.
+   right singular vectors of A come from Y alone. Items are factorised in batches of at most ``max_rank``, each with as
+   many dimensions as items; Y is one for all batches.
+3. A second pass scores every passage against the items' unit vectors in the latent space, by its words that the item's
+   batch has, so the number of items does not matter; items with a cosine over ``min_cosine`` are candidates, and so are items
+   all of whose words stand in a row.
 4. The longest common subsequence of an item's words and the passage (widened by the item's length)
    must cover ``threshold`` of the item; a paraphrase with at least ``loose`` counts if
    it also holds the answer word for word (the answer column, or else the item's last ``answer_words`` words).
@@ -185,12 +187,11 @@ def item_matrix(items: Items, weight: np.ndarray) -> np.ndarray:
     return b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
 
 
-def latent_space(rows: DataFrame, items: Items, weight: np.ndarray, window: int, rank: int, seed: int = 7) -> np.ndarray:
-    """Right singular vectors (words x rank) of the passage matrix with the items' rows."""
-    sketch = min(rank + 8, len(items.vocab))
-    y, n = gram_product(rows, items, weight, window, sketch, seed)
-    g = np.random.default_rng(seed).standard_normal((len(items.vocab), sketch), np.float32).astype(np.float64)
-    b = item_matrix(items, weight).astype(np.float64)
+def latent_space(y: np.ndarray, n: int, b: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
+    """Right singular vectors (words x rank) of the n passages, given as A'A G, with the items' rows ``b``."""
+    sketch = y.shape[1]
+    g = np.random.default_rng(seed).standard_normal(y.shape, np.float32).astype(np.float64)
+    b = b.astype(np.float64)
     heavy = max(1.0, float(n))
     y = y + heavy * (b.T @ (b @ g))
     shift = 1e-10 * np.linalg.norm(y)
@@ -199,7 +200,48 @@ def latent_space(rows: DataFrame, items: Items, weight: np.ndarray, window: int,
     ok = values > values.max() * 1e-12
     f = y @ (vectors[:, ok] / np.sqrt(values[ok]))
     u, _, _ = np.linalg.svd(f, full_matrices=False)
-    return u[:, :rank].astype(np.float32)
+    return u[:, : min(rank, sketch)].astype(np.float32)
+
+
+def fold_items(rows: DataFrame, items: Items, weight: np.ndarray, window: int, max_rank: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words x items, batch of each item, words x batches): the items' unit vectors of the latent space folded back to words,
+    and the words that each batch has.
+
+    Items are factorised in batches of at most ``max_rank``, so that each batch's space holds its items; the pass over the documents is one for all."""
+    matrix = item_matrix(items, weight)
+    batches = np.array_split(np.arange(len(items.ids)), -(-len(items.ids) // max_rank))
+    y, n = gram_product(rows, items, weight, window, min(len(batches[0]) + 8, len(items.vocab)), seed)
+    folded = np.zeros((len(items.vocab), len(items.ids)), np.float32)
+    own = np.zeros((len(items.vocab), len(batches)), np.float32)
+    for k, at in enumerate(batches):
+        space = latent_space(y, n, matrix[at], len(at), seed)
+        z = matrix[at] @ space
+        z = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+        # cosine of a passage with an item's unit vector of the latent space, folded back to words: one product instead of two
+        folded[:, at] = space @ z.T
+        own[:, k] = (matrix[at] > 0).any(axis=0)
+    return folded, np.repeat(np.arange(len(batches)), [len(x) for x in batches]), own
+
+
+def contained_items(w: np.ndarray, first: np.ndarray, items: Items, anchors: dict[int, list[tuple[int, int]]], is_anchor: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, item, first word of the item in the text) wherever all words of an item stand in a row."""
+    at = np.flatnonzero((w >= 0) & is_anchor[w])
+    at = at[np.argsort(w[at], kind="stable")]
+    out = []
+    for group in np.split(at, np.flatnonzero(np.diff(w[at])) + 1) if len(at) else ():
+        text = np.searchsorted(first, group, "right") - 1
+        for k, place in anchors[int(w[group[0]])]:
+            x = items.words[k]
+            s = group - place
+            ok = (s >= first[text]) & (s + len(x) <= first[text + 1])
+            s, d = s[ok], text[ok]
+            for j, v in enumerate(x.tolist()):
+                if not len(s):
+                    break
+                same = w[s + j] == v
+                s, d = s[same], d[same]
+            out += [(t, k, p) for t, p in zip(d.tolist(), (s - first[d]).tolist())]
+    return out
 
 
 def lcs(a_masks: dict[int, int], m: int, words: list[int]) -> int:
@@ -224,11 +266,13 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
         return docs.sparkSession.createDataFrame([], out)
     total, df = document_frequencies(rows, items)
     weight = word_weights(items, total, df, max_df, rarest)
-    space = latent_space(rows, items, weight, window, min(len(items.ids), max_rank))
-    z = item_matrix(items, weight) @ space
-    z = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-    # cosine of a passage with an item's unit vector of the latent space, folded back to words: one product instead of two
-    folded = np.ascontiguousarray(space @ z.T, np.float32)
+    folded, batch, own = fold_items(rows, items, weight, window, max_rank)
+    anchors: dict[int, list[tuple[int, int]]] = {}
+    for k, x in enumerate(items.words):
+        place = int(np.argmin(df[x]))
+        anchors.setdefault(int(x[place]), []).append((k, place))
+    is_anchor = np.zeros(len(items.vocab), bool)
+    is_anchor[list(anchors)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = []
@@ -241,11 +285,22 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
         for part, buf, off in slices(batches, limit=1_000_000):
             doc, w, first, number, word, value, text, start, begin = passages(buf, off, items, weight, window)
             best: dict[tuple[int, int], tuple[float, float]] = {}
+            sure: list[tuple[int, int]] = []
+            for d, k, p in contained_items(w, first, items, anchors, is_anchor):
+                i = np.arange(*np.searchsorted(text, [d, d + 1]))
+                sure += [(x, k) for x in i[(start[i] <= p) & (p < start[i] + window)].tolist()]
+            sure_at = np.array(sorted(sure), np.int64).reshape(-1, 2)
             for a in range(0, len(begin), 4000):
                 lo = begin[a]
                 hi = begin[a + 4000] if a + 4000 < len(begin) else len(word)
                 cos = np.add.reduceat(folded[word[lo:hi]] * value[lo:hi, None], begin[a : a + 4000] - lo, axis=0)
-                for i, k in zip(*(x.tolist() for x in np.nonzero(cos >= min_cosine))):
+                if own.shape[1] > 1:  # a passage has length one in the words of each batch, as if its items were all
+                    part_ = np.sqrt(np.add.reduceat(own[word[lo:hi]] * (value[lo:hi, None] ** 2), begin[a : a + 4000] - lo, axis=0))
+                    cos = cos / np.maximum(part_, 1e-6)[:, batch]
+                close = cos >= min_cosine
+                x, y = np.searchsorted(sure_at[:, 0], [a, a + 4000])
+                close[sure_at[x:y, 0] - a, sure_at[x:y, 1]] = True
+                for i, k in zip(*(x.tolist() for x in np.nonzero(close))):
                     d, s = int(text[a + i]), int(start[a + i])
                     m = len(items.words[k])
                     if best.get((d, k), (0, 0.0))[1] == 1:
