@@ -389,3 +389,50 @@ def test_seal():
             assert not any("llm" in n for n in names), path
             if not path.endswith(("sim.py", "extras.py")):
                 assert not any(n.endswith("sim") or ".sim." in n for n in names), path
+
+
+def test_queries_run_operators_with_their_defaults(spark, monkeypatch):
+    import inspect
+
+    from tidewater.operators import churn, forecasting, marketing, risk
+    from tidewater.plans import extras, forecast
+    from tidewater.plans import marketing as marketing_plans
+    from tidewater.plans import risk as risk_plans
+
+    class Called(Exception):
+        pass
+
+    def watch(module, name, given):
+        real = inspect.signature(getattr(module, name))
+
+        def stub(*args, **options):
+            bound = real.bind(*args, **options)
+            bound.apply_defaults()
+            got = dict(bound.arguments) | dict(bound.arguments.get("options", {}))
+            for key, value in given.items():
+                assert got.get(key, value) == value, (name, key)
+            raise Called
+
+        monkeypatch.setattr(module, name, stub)
+
+    d = "/root/testdata/sf0.001"
+    watch(forecasting, "backtest_rows", {"step": 28})
+    watch(churn, "train_pipeline", {"names": None})
+    watch(marketing, "bootstrap_roas", {"n_boot": 200})
+    watch(risk, "isolation_forest_detector", {"n_trees": 200})
+    queries = [forecast.QUERIES[q] for q in ("backtest_naive", "backtest_holt_winters", "churn_model_scores", "churn_model_metrics")] + [risk_plans.QUERIES["isolation_forest"]]
+    for q in queries:
+        with pytest.raises(Called):
+            q(spark, d)
+    with monkeypatch.context() as part:
+        part.setattr(marketing_plans, "_fit", lambda s, d: (None,) * 4)
+        with pytest.raises(Called):
+            marketing_plans.QUERIES["roas_bootstrap"](spark, d)
+    watch(marketing, "fit_mmm", {"n_rounds": 3})
+    for q in (marketing_plans.QUERIES["mmm_fit"], extras.QUERIES["mmm_scenario"]):
+        with pytest.raises(Called):
+            q(spark, d)
+    got = marketing_plans.QUERIES["adstock_channels"](spark, d)
+    one = marketing_plans.QUERIES["adstock"](spark, d)
+    assert sorted(got.where("channel = 'building'").select("date", "stock").collect()) == sorted(one.collect())
+    assert got.select("channel").distinct().count() > 1

@@ -35,7 +35,7 @@ def scenario_review(s, d):
     """True and estimated return of the media-mix scenario."""
     spend, revenue, dow, truth = sim.mmm_market()
     names = ("a", "b", "c", "d")
-    fit = marketing.fit_mmm(s, spend, revenue, dow, names, n_rounds=1)
+    fit = marketing.fit_mmm(s, spend, revenue, dow, names)
     got = fit.roas(spend)
     return s.createDataFrame([(c, float(truth["roas"][k]), got[c]) for k, c in enumerate(names)], "channel string, truth double, estimate double")
 

@@ -43,16 +43,16 @@ def split(s, d):
 
 
 def model_scores(s, d):
-    got = churn.train_pipeline(training(s, d), FEATURES, names=("logistic",))
+    got = churn.train_pipeline(training(s, d), FEATURES)
     return churn.predict_churn(got.model, training(s, d), FEATURES)
 
 
 def model_metrics(s, d):
-    got = churn.train_pipeline(training(s, d), FEATURES, names=("logistic",))
+    got = churn.train_pipeline(training(s, d), FEATURES)
     return s.createDataFrame(sorted((k, float(v)) for k, v in got.metrics.items()), "metric string, value double")
 
 
-def backtest(model, first=364, step=364):
+def backtest(model, first=364, step=28):
     def q(s, d):
         return _round(f.backtest_metrics(f.backtest_rows(total_series(s, d), model, first, 14, step)), 4)
 

@@ -34,10 +34,18 @@ def adstock_query(s, d):
     return out.select("r.date", F.round("r.stock", 2).alias("stock"))
 
 
+def adstock_channels(s, d):
+    """The same for every channel."""
+    days = warehouse.mart(s, d).groupBy("channel").agg(F.sort_array(F.collect_list(F.struct("date", "spend"))).alias("x"))
+    stock = m.adstock_column(F.transform("x", lambda v: v["spend"]), 0.5)
+    out = days.select("channel", F.explode(F.arrays_zip(F.transform("x", lambda v: v["date"]).alias("date"), stock.alias("stock"))).alias("r"))
+    return out.select("channel", "r.date", F.round("r.stock", 2).alias("stock"))
+
+
 def _fit(s, d):
     mart = warehouse.mart(s, d).cache()
     spend, revenue, dow = m.daily_matrix(mart, PAID)
-    return m.fit_mmm(s, spend, revenue, dow, PAID, n_rounds=1, allow_negative=True), spend, revenue, dow
+    return m.fit_mmm(s, spend, revenue, dow, PAID, allow_negative=True), spend, revenue, dow
 
 
 def mmm(s, d):
@@ -48,7 +56,7 @@ def mmm(s, d):
 
 def roas(s, d):
     fit, spend, revenue, dow = _fit(s, d)
-    return m.bootstrap_roas(s, fit, spend, revenue, dow, n_boot=64)
+    return m.bootstrap_roas(s, fit, spend, revenue, dow)
 
 
 def budget(s, d):
@@ -67,6 +75,7 @@ QUERIES = {
     "ltv_by_plan": lambda s, d: _ltv(s, d).plans.select("plan", "n_subscribers", *[F.round(c, 4).alias(c) for c in ("monthly_churn", "lifetime_months", "price", "ltv")]),
     "ltv_by_channel": lambda s, d: _ltv(s, d).by_channel.withColumn("avg_ltv", F.round("avg_ltv", 4)),
     "adstock": adstock_query,
+    "adstock_channels": adstock_channels,
     "mmm_fit": mmm,
     "roas_bootstrap": roas,
     "budget_allocation": budget,

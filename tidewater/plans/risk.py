@@ -33,7 +33,7 @@ def _psi(s, d):
 
 
 def _iso(s, d):
-    return risk.isolation_forest_detector(s, series(s, d), 12, n_trees=50)
+    return risk.isolation_forest_detector(s, series(s, d), 12)
 
 
 def _calibration(s, d):
