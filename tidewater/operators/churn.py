@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import one_row
+from ..sources.settle import settle
 from .risk import auc
 
 #: The serving contract, in order.
@@ -75,7 +76,7 @@ def temporal_split(training: DataFrame, share: float = 0.8) -> DataFrame:
 
 def folds(dev: DataFrame, n_splits: int = 3) -> list[tuple[DataFrame, DataFrame]]:
     """Expanding windows: each of the last n blocks of n // (splits + 1) rows is tested on all rows before it."""
-    rows = numbered(dev.drop("rn", "n", "part")).cache()
+    rows = settle(numbered(dev.drop("rn", "n", "part")))
     n = rows.count()
     size = n // (n_splits + 1)
     edges = [n - (n_splits - k) * size for k in range(n_splits)]
@@ -142,7 +143,7 @@ class Trained:
 
 def train_pipeline(training: DataFrame, features, names: tuple[str, ...] | None = None, seed: int = 42) -> Trained:
     """Champion by mean AUC of temporal folds, refitted on the development rows and evaluated once on the holdout."""
-    rows = temporal_split(training).cache()
+    rows = settle(temporal_split(training))
     m = one_row(rows, [F.count(F.lit(1)).alias("n"), F.avg("churned").alias("rate")])
     if m["n"] < 100:
         raise ValueError("under 100 users")

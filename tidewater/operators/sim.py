@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.io import Truth, check_truth
+from ..sources.settle import settle
 
 DEFAULT = check_truth(
     Truth(
@@ -72,7 +73,8 @@ def simulate(spark: SparkSession, truth: Truth = DEFAULT) -> SimOutput:
                 rows.append((int(day), names[c], date, clicks * p.get("cpc", 0.0), shown, clicks, joined))
             yield pd.DataFrame(rows, columns=["day", "channel", "date", "spend", "impressions", "clicks", "joined"])
 
-    made = days.mapInPandas(traffic, "day long, channel string, date date, spend double, impressions long, clicks long, joined long").cache()
+    made = days.mapInPandas(traffic, "day long, channel string, date date, spend double, impressions long, clicks long, joined long")
+    made = settle(made)
     ads = made.where("impressions > 0").select("date", "channel", "spend", "impressions", "clicks")
     from pyspark.sql import Window
 
@@ -92,7 +94,8 @@ def simulate(spark: SparkSession, truth: Truth = DEFAULT) -> SimOutput:
                 rows.append((int(user), int(day), channel, bool(high), bool(paid), plan, months))
             yield pd.DataFrame(rows, columns=["user_id", "day", "channel", "high", "subscribed", "plan", "months"])
 
-    found = users.mapInPandas(people, "user_id long, day long, channel string, high boolean, subscribed boolean, plan string, months long").cache()
+    found = users.mapInPandas(people, "user_id long, day long, channel string, high boolean, subscribed boolean, plan string, months long")
+    found = settle(found)
     date = F.date_add(F.lit(start), F.col("day").cast("int"))
     signups = found.select("user_id", date.alias("signup_date"), "channel", "subscribed", "plan")
     bills = found.where("subscribed").select("user_id", "plan", "day", F.posexplode(F.expr("sequence(1L, months)")).alias("k", "_m")).where((F.col("day") + 30 * F.col("k")) < truth.horizon_days)
