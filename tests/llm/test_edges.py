@@ -414,3 +414,64 @@ def test_decontamination_beyond_one_batch(spark):
     near = [k for k in range(1000) if (2 * k + 1, k) not in got]
     print("lost", len(exact), "exact,", len(near), "near of", len(items))
     assert not exact and len(near) <= 10
+
+
+def test_latent_cosine_finds_a_paraphrase_in_other_words(spark):
+    r = np.random.default_rng(5)
+    common, rare = [f"common{k}" for k in range(20)], [f"rare{k}" for k in range(10)]
+    other = [f"other{k}" for k in range(10)]  # stand for the rare words: the corpus uses both in the same passages
+    item = [w for k in range(10) for w in (common[2 * k], rare[k], common[2 * k + 1])] + common[:5]
+    changed = [w if w not in rare else other[rare.index(w)] for w in item]
+    items = [item] + [[f"item{j}word{k}" for k in range(12)] + other[j : j + 1] + common[:6] for j in range(18)]
+    topic = [" ".join(r.permutation([*rare, *other])[:14]) + " " + " ".join(r.choice(common, 40)) for _ in range(400)]
+    rest = [" ".join([*common, *r.choice([f"item{j}word{k}" for j in range(18) for k in range(12)], 40)]) for _ in range(1500)]
+    docs = spark.createDataFrame([*enumerate(topic + rest), (5000, " ".join([*r.choice(common, 30), *changed, *r.choice(common, 30)]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    find = lambda **o: {(x["id"], x["item_id"]) for x in decontamination.contaminated(docs, bench, **o).where("item_id = 0").collect()}
+    assert (5000, 0) in find()
+    # the plain TF-IDF cosine of item and paraphrase is far lower
+    got = decontamination.read_items(bench, "item_id", "text", None, 5, 100)
+    total, df = decontamination.document_frequencies(docs.select("text"), got)
+    weight = decontamination.word_weights(got, total, df, 0.1)
+
+    def vector(words):
+        v = np.zeros(len(weight))
+        for w in words:
+            k = got.lookup(decontamination.term_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[1])[0]
+            v[k] += weight[k]
+        return v / np.linalg.norm(v)
+
+    assert vector(item) @ vector(changed) < 0.2
+
+
+def test_decontamination_against_brute_force(spark):
+    """Every pair of the longest common subsequence's definition, over all windows, on a small table."""
+    r = np.random.default_rng(11)
+    draw = lambda n: [f"w{x}" for x in r.integers(0, 4000, n)]
+    items = [draw(int(r.integers(12, 30))) for _ in range(40)]
+    docs = []
+    for k in range(200):
+        x = items[k % 40]
+        edited = [w if r.random() > (k % 5) * 0.1 else f"new{k}" for w in x]
+        docs.append(draw(int(r.integers(0, 90))) + (edited if k % 2 else []) + draw(int(r.integers(0, 90))))
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(old[j] + 1 if x == y else max(old[j + 1], row[-1]))
+        return row[-1]
+
+    want = set()
+    for d, text in enumerate(docs):
+        for k, x in enumerate(items):
+            if set(x) & set(text) and any(longest(x, text[s : s + 64]) / len(x) >= 0.8 for s in range(0, max(1, len(text)), 8)):
+                want.add((d, k))
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate([*items, items[0]])], "item_id long, text string")
+    rows = decontamination.contaminated(docs, bench).collect()
+    got = {(x["id"], x["item_id"]) for x in rows if x["coverage"] >= 0.8}
+    assert {(d, 40) for d, k in got if k == 0} == {p for p in got if p[1] == 40}  # a repeated item is judged alike
+    got = {p for p in got if p[1] < 40}
+    assert want and want <= got and len(got - want) <= 0.02 * len(want)  # windows at other places may hold a little more

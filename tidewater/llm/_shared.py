@@ -8,7 +8,6 @@ bytes hash alike in every task, size and run.
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -27,12 +26,13 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none, a local one."""
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        got = tempfile.mkdtemp(prefix="tidewater-")
-        spark.conf.set("spark.checkpoint.dir", got)
-    return got
+    """The folder that driver and executors share; where the session names none, the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+
+
+def own_name(name: str) -> str:
+    """A column name that no table of a user has."""
+    return f"_{name}_{uuid.uuid4().hex}"
 
 
 @contextlib.contextmanager

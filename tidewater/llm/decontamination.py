@@ -1,21 +1,23 @@
 """Benchmark decontamination by latent semantic retrieval and sequence checks.
 
 1. Document frequencies of the benchmark's words over all documents give TF-IDF weights. Words in
-   over ``max_df`` of the documents weigh nothing, but each item keeps its ``rarest`` rarest words.
+   over ``max_df`` of the documents weigh nothing, but an item of which fewer than half the words are left keeps all of them.
 2. Passages are windows of ``window`` words at every half window of every document. One pass adds up Y = A'A G for
-   the passage matrix A (and, heavily weighted, the items' rows, so that the latent space holds them) and a
+   the passage matrix A (and the items' rows, which together weigh as much as all passages) and a
    Gaussian G: a randomised SVD in Nystrom form, summed block by block over the cluster, whose
-   right singular vectors of A come from Y alone. Items are factorised in batches of at most ``max_rank``, each with as
-   many dimensions as items; Y is one for all batches.
-3. A second pass scores every passage against the items' unit vectors in the latent space, by its words that the item's
-   batch has, so the number of items does not matter; items with a cosine over ``min_cosine`` are candidates, and so are items
+   right singular vectors of A come from Y alone. Items are factorised in batches of at most ``batch_items``, each in
+   ``rank_share`` times as many dimensions as items, so that words that stand in the same passages and items share dimensions; Y
+   is one for all batches.
+3. A second pass projects every passage into the latent space and takes its cosine there with the items (a projection shorter than
+   ``floor`` of the passage counts as that long); items with a cosine over ``min_cosine`` are candidates, and so are items
    all of whose words stand in a row.
 4. The longest common subsequence of an item's words and the passage (widened by the item's length)
    must cover ``threshold`` of the item; a paraphrase with at least ``loose`` counts if
    it also holds the answer word for word (the answer column, or else the item's last ``answer_words`` words).
 
 Words are runs of letters and digits, ASCII-lower-cased, compared by 64-bit hash. The benchmark is the stated query set: it is
-collected (at most ``max_items`` items, else an error) and sent to all tasks with matrices of its words times the rank.
+collected (at most ``max_items`` items, else an error) and sent to all tasks with matrices of its words times the rank, of at
+most ``max_bytes`` in all, else an error: such a benchmark is to be decontaminated in parts.
 
 Edge cases: null and empty texts match nothing; null and empty items are ignored; items shorter than the
 window, documents shorter than an item, repeated ids, equal rows and repeated items are all
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import U64, row_keys, slices
+from ._shared import U64, own_name, row_keys, slices
 from .toxicity import term_hashes
 
 BLOCKS = 64
@@ -104,12 +106,12 @@ def document_frequencies(rows: DataFrame, items: Items) -> tuple[int, np.ndarray
     return total, df
 
 
-def word_weights(items: Items, total: int, df: np.ndarray, max_df: float, rarest: int) -> np.ndarray:
+def word_weights(items: Items, total: int, df: np.ndarray, max_df: float) -> np.ndarray:
     idf = np.log((total + 1) / (df + 1)) + 1e-3
     keep = df <= max_df * total
-    for w in items.words:
-        u = np.unique(w)
-        keep[u[np.argsort(df[u], kind="stable")[:rarest]]] = True
+    whole = [w for w in items.words if keep[w].mean() < 0.5]
+    for w in whole:
+        keep[w] = True
     return np.where(keep, idf, 0.0)
 
 
@@ -179,23 +181,32 @@ def gram_product(rows: DataFrame, items: Items, weight: np.ndarray, window: int,
     return y, sum(r["n"] for r in got)
 
 
-def item_matrix(items: Items, weight: np.ndarray) -> np.ndarray:
-    b = np.zeros((len(items.ids), len(items.vocab)), np.float32)
-    for k, w in enumerate(items.words):
-        u, n = np.unique(w, return_counts=True)
-        b[k, u] = weight[u] * (1 + np.log(n))
-    return b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
+@dataclass
+class Space:
+    """The latent space of a batch of items: a vector of each word, and the unit vector of each item."""
+
+    items: np.ndarray
+    words: np.ndarray
+    units: np.ndarray
+
 
+def item_rows(items: Items, weight: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word numbers, items x words): unit tf-idf rows of some items, over the words that these have."""
+    own = np.unique(np.concatenate([items.words[k] for k in at]))
+    b = np.zeros((len(at), len(own)))
+    for j, k in enumerate(at):
+        u, n = np.unique(items.words[k], return_counts=True)
+        b[j, np.searchsorted(own, u)] = weight[u] * (1 + np.log(n))
+    return own, b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
 
-def latent_space(y: np.ndarray, n: int, b: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
-    """Right singular vectors (words x rank) of the n passages, given as A'A G, with the items' rows ``b``."""
+
+def latent_space(y: np.ndarray, n: int, own: np.ndarray, b: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
+    """Right singular vectors (words x rank) of the n passages, given as A'A G, and of the rows ``b`` over the words ``own``."""
     sketch = y.shape[1]
     g = np.random.default_rng(seed).standard_normal(y.shape, np.float32).astype(np.float64)
-    b = b.astype(np.float64)
-    heavy = max(1.0, float(n))
-    y = y + heavy * (b.T @ (b @ g))
-    shift = 1e-10 * np.linalg.norm(y)
-    y = y + shift * g
+    y = y.copy()
+    y[own] += max(1.0, n / len(b)) * (b.T @ (b @ g[own]))
+    y += 1e-10 * np.linalg.norm(y) * g
     values, vectors = np.linalg.eigh((g.T @ y + y.T @ g) / 2)
     ok = values > values.max() * 1e-12
     f = y @ (vectors[:, ok] / np.sqrt(values[ok]))
@@ -203,24 +214,21 @@ def latent_space(y: np.ndarray, n: int, b: np.ndarray, rank: int, seed: int = 7)
     return u[:, : min(rank, sketch)].astype(np.float32)
 
 
-def fold_items(rows: DataFrame, items: Items, weight: np.ndarray, window: int, max_rank: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words x items, batch of each item, words x batches): the items' unit vectors of the latent space folded back to words,
-    and the words that each batch has.
-
-    Items are factorised in batches of at most ``max_rank``, so that each batch's space holds its items; the pass over the documents is one for all."""
-    matrix = item_matrix(items, weight)
-    batches = np.array_split(np.arange(len(items.ids)), -(-len(items.ids) // max_rank))
-    y, n = gram_product(rows, items, weight, window, min(len(batches[0]) + 8, len(items.vocab)), seed)
-    folded = np.zeros((len(items.vocab), len(items.ids)), np.float32)
-    own = np.zeros((len(items.vocab), len(batches)), np.float32)
-    for k, at in enumerate(batches):
-        space = latent_space(y, n, matrix[at], len(at), seed)
-        z = matrix[at] @ space
-        z = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-        # cosine of a passage with an item's unit vector of the latent space, folded back to words: one product instead of two
-        folded[:, at] = space @ z.T
-        own[:, k] = (matrix[at] > 0).any(axis=0)
-    return folded, np.repeat(np.arange(len(batches)), [len(x) for x in batches]), own
+def latent_spaces(rows: DataFrame, items: Items, weight: np.ndarray, window: int, batch_items: int, rank_share: float, max_bytes: int, seed: int = 7) -> list[Space]:
+    """The spaces of all batches of items; the pass over the documents is one for all."""
+    batches = np.array_split(np.arange(len(items.ids)), -(-len(items.ids) // batch_items))
+    rank = max(1, min(int(np.ceil(rank_share * len(batches[0]))), len(items.vocab)))
+    sketch = min(rank + 8, len(items.vocab))
+    if 4 * len(items.vocab) * max(sketch, rank * len(batches)) > max_bytes:
+        raise ValueError(f"the latent spaces of this benchmark take over {max_bytes} bytes; decontaminate it in parts")
+    y, n = gram_product(rows, items, weight, window, sketch, seed)
+    spaces = []
+    for at in batches:
+        own, b = item_rows(items, weight, at)
+        space = latent_space(y, n, own, b, rank, seed)
+        z = b.astype(np.float32) @ space[own]
+        spaces.append(Space(at, space, z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)))
+    return spaces
 
 
 def contained_items(w: np.ndarray, first: np.ndarray, items: Items, anchors: dict[int, list[tuple[int, int]]], is_anchor: np.ndarray) -> list[tuple[int, int, int]]:
@@ -256,7 +264,7 @@ def lcs(a_masks: dict[int, int], m: int, words: list[int]) -> int:
     return m - v.bit_count()
 
 
-def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, window: int = 64, max_df: float = 0.1, rarest: int = 8, max_rank: int = 256, min_cosine: float = 0.2, threshold: float = 0.8, loose: float = 0.65, answer_words: int = 5, max_items: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, window: int = 64, max_df: float = 0.1, batch_items: int = 256, rank_share: float = 0.5, min_cosine: float = 0.5, floor: float = 0.3, threshold: float = 0.8, loose: float = 0.65, answer_words: int = 5, max_items: int = 20_000, max_bytes: int = 256_000_000) -> DataFrame:
     """One row for each document and item found in it: id, fp (hash of the text), item_id, cosine, coverage."""
     rows = row_keys(docs, id_col, text_col)
     kind = bench.schema[item_col].dataType
@@ -265,8 +273,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     if not items.ids:
         return docs.sparkSession.createDataFrame([], out)
     total, df = document_frequencies(rows, items)
-    weight = word_weights(items, total, df, max_df, rarest)
-    folded, batch, own = fold_items(rows, items, weight, window, max_rank)
+    weight = word_weights(items, total, df, max_df)
+    spaces = latent_spaces(rows, items, weight, window, batch_items, rank_share, max_bytes)
     anchors: dict[int, list[tuple[int, int]]] = {}
     for k, x in enumerate(items.words):
         place = int(np.argmin(df[x]))
@@ -293,10 +301,10 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
             for a in range(0, len(begin), 4000):
                 lo = begin[a]
                 hi = begin[a + 4000] if a + 4000 < len(begin) else len(word)
-                cos = np.add.reduceat(folded[word[lo:hi]] * value[lo:hi, None], begin[a : a + 4000] - lo, axis=0)
-                if own.shape[1] > 1:  # a passage has length one in the words of each batch, as if its items were all
-                    part_ = np.sqrt(np.add.reduceat(own[word[lo:hi]] * (value[lo:hi, None] ** 2), begin[a : a + 4000] - lo, axis=0))
-                    cos = cos / np.maximum(part_, 1e-6)[:, batch]
+                cos = np.empty((min(4000, len(begin) - a), len(items.ids)), np.float32)
+                for space in spaces:
+                    p = np.add.reduceat(space.words[word[lo:hi]] * value[lo:hi, None], begin[a : a + 4000] - lo, axis=0)
+                    cos[:, space.items] = p @ space.units.T / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), floor)
                 close = cos >= min_cosine
                 x, y = np.searchsorted(sure_at[:, 0], [a, a + 4000])
                 close[sure_at[x:y, 0] - a, sure_at[x:y, 1]] = True
@@ -328,7 +336,7 @@ def _holds(region: list[int], answer: list[int]) -> bool:
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` in which no item was found."""
-    found = contaminated(docs, bench, id_col, text_col, **options).select(F.col("id").alias("_id"), F.col("fp").alias("_key")).distinct()
-    fp = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    keyed = docs.withColumn("_fp", fp)
-    return keyed.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_key")), "left_anti").select(*docs.columns)
+    key, own, fp = (own_name(n) for n in ("id", "key", "fp"))
+    found = contaminated(docs, bench, id_col, text_col, **options).select(F.col("id").alias(key), F.col("fp").alias(own)).distinct()
+    keyed = docs.withColumn(fp, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return keyed.join(found, F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.col(fp) == F.col(own)), "left_anti").select(*docs.columns)
