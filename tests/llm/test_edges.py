@@ -475,3 +475,74 @@ def test_decontamination_against_brute_force(spark):
     assert {(d, 40) for d, k in got if k == 0} == {p for p in got if p[1] == 40}  # a repeated item is judged alike
     got = {p for p in got if p[1] < 40}
     assert want and want <= got and len(got - want) <= 0.02 * len(want)  # windows at other places may hold a little more
+
+
+#: Pages written by hand, with the text a reader would call the article.
+BY_HAND = {
+    "no names": (
+        "<html><body><div><div><h1>A plain page</h1><p>The first paragraph has several words in it, and a comma.</p><p>The second paragraph goes on about the same thing for a while.</p></div></div></body></html>",
+        ["A plain page", "The first paragraph has several words in it, and a comma.", "The second paragraph goes on about the same thing for a while."],
+    ),
+    "old style": (
+        "<h1>Old style page</h1><p>Nothing here has a class, as it was written by hand long ago.<p>It still has some paragraphs.<p>And one more for good measure, with a few more words in it.<hr>",
+        ["Old style page", "Nothing here has a class, as it was written by hand long ago.", "It still has some paragraphs.", "And one more for good measure, with a few more words in it."],
+    ),
+    "formula and no script": (
+        "<article><h1>Title of it</h1><p>Some words before the image are here.</p><noscript><p>This text is shown when scripts are off.</p></noscript><p>Then <svg viewBox='0 0'/>the formula <math><mi>x</mi><mo>=</mo><mn>1</mn></math> follows in the text.</p></article><footer class='footer'>&copy; me</footer>",
+        ["Title of it", "Some words before the image are here.", "This text is shown when scripts are off.", "Then the formula x=1 follows in the text."],
+    ),
+    "nested divisions": (
+        "<div><div><div><h1>How to bake bread</h1></div><div><p>Take flour, water, salt and yeast, and mix them in a bowl.</p><p>Let it rise for two hours in a warm place.</p></div></div></div>",
+        ["How to bake bread", "Take flour, water, salt and yeast, and mix them in a bowl.", "Let it rise for two hours in a warm place."],
+    ),
+    "blog": (
+        "<body><nav><ul><li><a href=/>Home</a></li><li><a href=/x>Posts</a></li></ul></nav><main><h1>Why we moved</h1><p>The office was too small for all of us &ndash; and too loud.</p><blockquote>It was never quiet.</blockquote><ul><li>More room</li><li>Less noise</li></ul></main>"
+        "<section id='comments'><h3>Comments</h3><p>Good for you, I liked the old one better though.</p></section><div class='cookie-notice'>We use cookies.</div><footer class='site-footer'><p>All rights reserved.</p></footer></body>",
+        ["Why we moved", "The office was too small for all of us \u2013 and too loud.", "It was never quiet.", "More room", "Less noise"],
+    ),
+}
+
+
+def test_labeller_on_pages_written_by_hand():
+    net = html_extract.trained_labeller()
+    got = {k: html_extract.main_texts([page], net)[0].split("\n") for k, (page, _) in BY_HAND.items()}
+    assert got == {k: want for k, (_, want) in BY_HAND.items()}
+
+
+def test_blocks_against_a_parser():
+    """The text of all blocks is what a parser of the standard library reads, for written pages with references and odd spaces."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.blocks, self.now, self.skip = [], "", 0
+
+        def cut(self):
+            if self.now.split():
+                self.blocks.append(" ".join(self.now.split()))
+            self.now = ""
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("style", "title")
+            if tag == "br":
+                self.now += " "
+            elif tag in html_extract.BLOCK:
+                self.cut()
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("style", "title")
+            if tag in html_extract.BLOCK:
+                self.cut()
+
+        def handle_data(self, data):
+            self.now += "" if self.skip else data
+
+    writer = html_extract.PageWriter(31)
+    for k in range(300):
+        page = writer.page()[0].replace(" an", " &auml;n\n\t ", 3).replace("<p>", "<p title='a>b'> &#x41;&nbsp;", 2)
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        reader.cut()
+        assert [b[0] for b in html_extract.cut_blocks(page)] == reader.blocks, k

@@ -42,8 +42,8 @@ PIECES = re.compile(
 #: Elements whose content is text up to their own end tag, or else to the page's end.
 RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for n in ("script", "style", "title", "textarea", "iframe")}
 FOREIGN = frozenset(("svg", "math"))
-#: Elements that do not show; one without a matching end tag hides nothing.
-UNSEEN = FOREIGN | {"noscript", "template", "object", "canvas", "select"}
+#: Elements whose content is no text of the page; one without a matching end tag hides nothing.
+UNSEEN = frozenset(("svg", "template", "object", "canvas", "select"))
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[a-z]+", re.I)
 #: Elements that start and end a block (the block-level elements of HTML, and those that act so).
@@ -54,7 +54,7 @@ VOID = frozenset(("hr", "br", "img", "input", "meta", "link", "source", "wbr", "
 #: What a start tag closes if it is open: the optional end tags of HTML.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-PATH_DIMS, WORD_DIMS, SHAPE_DIMS = 96, 16, 8
+PATH_DIMS, WORD_DIMS, SHAPE_DIMS = 96, 64, 8
 DIMS = PATH_DIMS + WORD_DIMS + SHAPE_DIMS
 HIDDEN = 24
 
@@ -74,7 +74,7 @@ def shown_pieces(page: str) -> list[tuple[int, int, re.Match | None]]:
         name = (m[2] or "").lower()
         empty = bool(m[3]) and m[3].endswith("/")
         if name in RAW and not m[1]:
-            if not (empty and any(open_[n] for n in FOREIGN)):
+            if not (empty and open_["svg"]):
                 end = RAW[name].search(page, at)
                 at, tag = end.end() if end else len(page), None
         elif name in UNSEEN:
@@ -293,6 +293,7 @@ class PageWriter:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
         self.vocabulary = [self._word() for _ in range(6000)]
+        self.plain = False
 
     def _word(self) -> str:
         parts = ("an", "er", "th", "ti", "re", "ou", "en", "st", "ha", "é", "ll", "ch", "ber", "os", "ing", "ö", "ci", "que", "mo", "lu")
@@ -317,6 +318,9 @@ class PageWriter:
 
     def main_block(self) -> tuple[str, list[str]]:
         k, r = self.r.random(), self.r.random
+        if self.plain and k < 0.72:
+            t = self.words(5, 60) + self.pick((".", ".", "!", ""))
+            return f"<div>{t}</div>", [t]
         if k < 0.72:
             t = self.words(1, 4) if r() < 0.2 else self.words(5, 60)
             t += self.pick((".", ".", ".", "!", "", ":"))
@@ -345,6 +349,10 @@ class PageWriter:
     def junk(self, kind: str) -> tuple[str, list[str]]:
         tag, texts, inner = self.pick(JUNK_TAGS[kind]), [], ""
         r = self.r.random
+        if kind in ("nav", "footer") and r() < 0.15:  # a line of links without names
+            sep, some = self.pick((" ", " | ", " - ")), [self.words(1, 2) for _ in range(self.r.randint(2, 6))]
+            tag = self.pick(("div", "p", "td"))
+            return f"<{tag}>" + sep.join(f'<a href="/{k}">{t}</a>' for k, t in enumerate(some)) + f"</{tag}>", [sep.join(some)]
 
         def add(t: str) -> str:
             texts.append(t)
@@ -395,18 +403,26 @@ class PageWriter:
 
         before = [k for k in ("header", "nav", "notice", "form", "ad", "nav", "share") if r() < (0.7 if k == "nav" else 0.35)]
         self.r.shuffle(before)
-        for k in before:
-            put(self.junk(k), False)
-        kind = self.pick(("article", "article", "article", "main", "main-article", "div", "section", "role", "wrap"))
+        kind = self.pick(("article", "article", "article", "main", "main-article", "div", "section", "role", "wrap", "bare", "bare", "bare"))
         shut = {"article": ("<article>", "</article>"), "main": ("<main>", "</main>"), "main-article": ("<main><article>", "</article></main>"), "section": (f'<section class="{self.pick(MAIN_NAMES)}">', "</section>"), "role": ('<div role="main">', "</div>")}
         opened, closed = shut.get(kind, (f'<div {self.pick(("class", "id"))}="{self.pick(MAIN_NAMES)}">', "</div>"))
+        if kind == "bare":  # no element or name tells the article
+            opened, closed = self.pick((("", ""), ("<div>", "</div>"), ("<div><div>", "</div></div>"), ("<table><tr><td>", "</td></tr></table>"), ("<center>", "</center>")))
+            if r() < 0.4:
+                before = []
         if kind == "wrap":
             opened, closed = f'<div class="wrap">{opened}<article>', f"</article>{closed}</div>"
-        if r() < 0.3:
+        for k in before:
+            put(self.junk(k), False)
+        if r() < (0.1 if kind == "bare" else 0.3):
             put(self.junk("aside"), False)
         out.append(opened)
         if r() < 0.85:
-            put((f"<h1>{(t := self.words(2, 12))}</h1>", [t]), True)
+            t = self.words(2, 12)
+            put((f"<div><h1>{t}</h1></div>" if r() < 0.1 else f"<h1>{t}</h1>", [t]), True)
+        split = r() < 0.1  # paragraphs in a division of their own
+        out.append("<div>" * split)
+        self.plain = r() < 0.12  # divisions instead of paragraphs
         if r() < 0.2:
             put(self.junk("share"), False)
         for _ in range(self.r.randint(1, 21) if r() < 0.9 else 1):
@@ -415,8 +431,10 @@ class PageWriter:
                 put(self.junk(self.pick(("ad", "aside", "notice", "share", "form"))), False)
         if r() < 0.12:
             put(self.junk("share"), False)
-        out.append(closed)
+        out.append("</div>" * split + closed)
         after = [k for k in ("comments", "aside", "ad", "share", "form", "notice", "nav", "footer") if r() < {"footer": 0.8, "comments": 0.35}.get(k, 0.25)]
+        if kind == "bare" and r() < 0.6:
+            after = []
         for k in after:
             put(self.junk(k), False)
         end = "</body></html>" if r() < 0.9 else ""
@@ -435,7 +453,7 @@ def written_pages(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def train_labeller(pages: int = 2000, epochs: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 1) -> Labeller:
+def train_labeller(pages: int = 3000, epochs: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 1) -> Labeller:
     data = written_pages(pages, seed)
     net, rng = Labeller(seed), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
