@@ -546,3 +546,55 @@ def test_blocks_against_a_parser():
         reader.close()
         reader.cut()
         assert [b[0] for b in html_extract.cut_blocks(page)] == reader.blocks, k
+
+
+def test_toxicity_of_three_labelled_grades(spark):
+    r = np.random.default_rng(8)
+    rows, labels = [], []
+    for k in range(900):
+        grade = k % 3
+        w = [f"w{x}" for x in r.integers(0, 2000, 50)] + ["rude"] * (grade == 1) + ["vile", "rude"] * (grade == 2)
+        r.shuffle(w)
+        rows.append((k, " ".join(w)))
+        if k < 600:
+            labels.append((k, grade))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1]
+    got = toxicity.score_toxicity(docs.where("doc_id >= 600"), model).collect()
+    assert all(round(x["severity"]) == x["doc_id"] % 3 and x["toxic"] == (x["doc_id"] % 3 > 0) for x in got)
+
+
+def test_own_columns_leave_a_users_alone(spark):
+    own = {"_fp": F.lit("mine"), "_text": F.lit(3), "_at": F.lit(333.0), "_i": F.lit(-1), "_id": F.lit(5), "_key": F.lit("k"), "_k": F.lit(1), "_p": F.lit(2), "fp": F.lit(0)}
+    docs = spark.createDataFrame([(k, words(80, k), "s") for k in range(6)], "doc_id long, text string, source string").withColumns(own)
+    bench = spark.createDataFrame([(1, words(80, 3))], "item_id long, text string")
+    model = toxicity.OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.array([40.0]))
+    for got in (near_dedup.keep_one(docs), decontamination.drop_contaminated(docs, bench), mixing.take_mix(docs, queries.MIX_SCHEDULES), toxicity.score_toxicity(docs, model)):
+        rows = got.collect()
+        assert rows and all((x["_fp"], x["_text"], x["_at"], x["_i"], x["_id"], x["_key"], x["_k"], x["_p"], x["fp"]) == ("mine", 3, 333.0, -1, 5, "k", 1, 2, 0) for x in rows)
+    as_text = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert n(near_dedup.keep_one(as_text)) == 6
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        near_dedup.keep_one(docs.withColumn("doc_id", F.lit("x"))).collect()
+
+
+def test_quality_counts_against_brute_force(spark, odd):
+    r = np.random.default_rng(4)
+    texts = ["".join(r.choice(list("ab#$ \n\té\u00a0|<"), int(r.integers(0, 300)))) for _ in range(150)] + ["one two three one two three", "", None, " \n ", "a b\na b\n\n\na b", "x " * 3000]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for x in quality_rules.judge(docs, labels).collect():
+        t = texts[x["doc_id"]] or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        seen, twice = {}, set()
+        for k in range(len(w) - 2):
+            seen.setdefault(tuple(w[k : k + 3]), []).append(k)
+        for at in seen.values():
+            if len(at) > 1:
+                twice |= {j for k in at for j in (k, k + 1, k + 2)}
+        lines = [y for y in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", y)]
+        want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(twice))
+        assert (x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"]) == want, t
+        failed = len(w) < 50 or 100 * len(twice) > 50 * len(w)
+        assert x["base_failed"] == failed and not (failed and x["kept"])

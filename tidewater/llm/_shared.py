@@ -61,7 +61,9 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def row_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp, text): id and fp name a row by content, so repeated ids and null ids stay apart."""
+    """(id, fp, text): id and fp name a row by content, so repeated ids and null ids stay apart.
+
+    Ids are integers, or strings that hold one; under ANSI rules any other string raises."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("fp"), text.alias("text"))
 

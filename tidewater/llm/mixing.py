@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import stash
+from ._shared import own_name, stash
 
 WORD = r"[^\x20\x09-\x0D]+"
 Schedule = Sequence[tuple[float, float]]
@@ -144,16 +144,17 @@ def take_mix(docs: DataFrame, schedules: Sequence[Schedule], max_epochs: int = 3
     key = lambda i, s, n, fp: F.xxhash64(F.col(i).isNull(), i, F.col(s).isNull(), s, n, fp)
     mixed = mix_sources(docs, schedules, max_epochs, id_col, source_col, text_col, by_text=True)
     # rows equal in id, source and text have places of their own: each takes the passes of one of them
-    some = mixed.groupBy(key("doc_id", "source", "size", "fp").alias("_k")).agg(F.sort_array(F.collect_list(F.struct(F.col("position").isNull().alias("z"), "position", "passes"))).alias("_rows"), F.sum("taken").alias("_t"))
-    some = some.where("_t > 0").select(F.col("_k").alias("_key"), F.col("_rows.passes").alias("_passes"))
-    keyed = docs.withColumns({"_i": F.col(id_col).cast("long"), "_s": F.col(source_col).cast("string"), "_n": word_count(F.col(text_col).cast("string")), "_fp": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    keyed = keyed.withColumn("_k", key("_i", "_s", "_n", "_fp"))
-    rows = keyed.join(some, keyed["_k"] == some["_key"])
+    i, src, size, fp, k, key_, passes, p, at = (own_name(n) for n in ("id", "source", "size", "fp", "k", "key", "passes", "pass", "at"))
+    some = mixed.groupBy(key("doc_id", "source", "size", "fp").alias(key_)).agg(F.sort_array(F.collect_list(F.struct(F.col("position").isNull().alias("z"), "position", "passes"))).alias("_rows"), F.sum("taken").alias("_t"))
+    some = some.where("_t > 0").select(key_, F.col("_rows.passes").alias(passes))
+    keyed = docs.withColumns({i: F.col(id_col).cast("long"), src: F.col(source_col).cast("string"), size: word_count(F.col(text_col).cast("string")), fp: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    keyed = keyed.withColumn(k, key(i, src, size, fp))
+    rows = keyed.join(some, keyed[k] == some[key_])
     plain = [c for c, kind in docs.dtypes if "map<" not in kind]
-    turn = F.row_number().over(Window.partitionBy("_k").orderBy(F.xxhash64(*plain)))
-    rows = rows.withColumn("_turn", turn).withColumn("_p", F.explode(F.get("_passes", F.col("_turn") - 1)))
+    turn = F.row_number().over(Window.partitionBy(k).orderBy(F.xxhash64(*plain)))
+    rows = rows.withColumn(p, turn).withColumn(p, F.explode(F.get(passes, F.col(p) - 1)))
     # pieces of white space and the word after it; joined they are the text as it is
     pieces = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    cut = F.when(F.col("_p.words") < F.col("_n"), F.array_join(F.slice(pieces, F.lit(1), F.col("_p.words").cast("int")), "")).otherwise(F.col(text_col))
-    rows = rows.withColumn(text_col, cut).withColumn("_at", F.col("_p.position"))
-    return rows.repartitionByRange("_at", "_i").sortWithinPartitions("_at", "_i").select(*docs.columns)
+    cut = F.when(F.col(f"{p}.words") < F.col(size), F.array_join(F.slice(pieces, F.lit(1), F.col(f"{p}.words").cast("int")), "")).otherwise(F.col(text_col))
+    rows = rows.withColumn(text_col, cut).withColumn(at, F.col(f"{p}.position"))
+    return rows.repartitionByRange(at, i).sortWithinPartitions(at, i).select(*docs.columns)

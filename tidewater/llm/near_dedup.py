@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._shared import U64, mix, row_keys, shingles, slices, stash
+from ._shared import U64, mix, own_name, row_keys, shingles, slices, stash
 
 
 def _unit(h: np.ndarray) -> np.ndarray:
@@ -214,7 +214,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The columns of ``docs`` for one document of each class."""
-    keep = near_duplicates(docs, id_col, text_col, **options).where("keep").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_key")).distinct()
-    fp = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    got = docs.withColumn("_fp", fp).join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_key")), "left_semi")
-    return got.dropDuplicates([id_col, "_fp"]).select(*docs.columns)
+    own_id, own_fp, fp = (own_name(n) for n in ("id", "key", "fp"))
+    keep = near_duplicates(docs, id_col, text_col, **options).where("keep").select(F.col("doc_id").alias(own_id), F.col("fp").alias(own_fp)).distinct()
+    got = docs.withColumn(fp, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    got = got.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.col(fp) == F.col(own_fp)), "left_semi")
+    return got.dropDuplicates([id_col, fp]).select(*docs.columns)

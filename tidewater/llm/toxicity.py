@@ -10,8 +10,8 @@ The fit uses about ``max_rows`` labelled documents at most, chosen by the hash o
 made by Spark and only the chosen words (at most ``max_terms``) and the rows' indices of those
 reach the driver. Scoring reads every whole text once.
 
-Labels of two grades are spread over three: a labelled toxic document has grade 2 if it holds at
-least ``severe_terms`` of the words that speak for toxicity, else 1. Labels with more grades are used as they are.
+Grades are those of the labels, from 0: with two of them there is one threshold and the expected grade is the probability of the
+upper one.
 
 Edge cases: null and empty texts have no features and get the grade of the thresholds alone; null
 or repeated ids are kept; labels of ids without a document, and null labels, are ignored; without
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bounded_sample, prefix_hash, range_hash, slices, stash
+from ._shared import bounded_sample, own_name, prefix_hash, range_hash, slices, stash
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -80,7 +80,7 @@ class OrdinalModel:
         return np.bincount(pairs // len(self.terms), self.weights[pairs % len(self.terms)], minlength=n)
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, n_grades: int, ridge: float = 1.0, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, y: np.ndarray, n_grades: int, ridge: float = 0.25, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by full-batch Adam on the penalised likelihood; thresholds stay ordered."""
     n, d = x.shape
     # the first threshold and the logs of the gaps
@@ -109,7 +109,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, n_grades: int, ridge: float = 1.0,
     return p[:d], p[d] + np.concatenate([[0.0], np.cumsum(np.exp(p[d + 1 :]))])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 10_000, max_terms: int = 512, min_z: float = 4.0, severe_terms: int = 3) -> OrdinalModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 10_000, max_terms: int = 512, min_z: float = 4.0) -> OrdinalModel:
     """Learn from labelled documents."""
     none = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.array([40.0, 41.0]))
     given = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("grade"))
@@ -143,7 +143,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", i
     if not len(chosen):
         return none
     hashes = chosen["term"].to_numpy(np.int64)
-    speak = set(chosen["term"][chosen["z"] >= min_z].tolist())
     wanted = F.array(*[F.lit(int(t)) for t in hashes])
     got = rows.select("_id", "grade", F.array_intersect("terms", wanted).alias("hits")).toPandas().sort_values("_id")
     index = {t: k for k, t in enumerate(hashes.tolist())}
@@ -151,8 +150,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", i
     for r, hits in enumerate(got["hits"].tolist()):
         x[r, [index[t] for t in hits]] = 1
     y = got["grade"].to_numpy(np.int64)
-    if y.max() == 1:
-        y = np.where((y == 1) & (np.array([sum(t in speak for t in hits) for hits in got["hits"]]) >= severe_terms), 2, y)
     w, theta = fit_ordinal(x, y, int(max(y.max(), 1)) + 1)
     order = np.argsort(hashes.view(np.uint64))
     return OrdinalModel(hashes.view(np.uint64)[order], w.astype(float)[order], theta)
@@ -163,11 +160,12 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
     own = ("severity", "p_toxic", "toxic")
     docs = docs.drop(*own)
     names = docs.columns
-    src = docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    text = own_name("text")
+    src = docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     out = T.StructType([*docs.schema.fields, T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("toxic", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, off in slices(batches, "_text"):
+        for part, buf, off in slices(batches, text):
             p = model.grades(model.eta(*term_hashes(buf, off), part.num_rows))
             toxic = 1 - p[:, 0]
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), pa.array(p @ np.arange(p.shape[1])), pa.array(toxic), pa.array(toxic >= limit)], names=[*names, *own])
