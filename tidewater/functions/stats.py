@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Sequence
+from functools import lru_cache
 from statistics import NormalDist
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +27,34 @@ def two_sided_p(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def _phi(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: None if pd.isna(v) else norm_cdf(float(v)))
+def _scaled_tail(t: float) -> float:
+    """log(erfc(x) exp(x^2) / t) at x = 2 / t - 2; smooth on (0, 1]."""
+    x = 2 / t - 2
+    if x < 2:
+        return math.log(math.erfc(x) * math.exp(x * x) / t)
+    f = x  # the continued fraction, from its far end
+    for k in range(300, 0, -1):
+        f = x + k / 2 / f
+    return -math.log(math.sqrt(math.pi) * f * t)
+
+
+@lru_cache
+def _tail_polynomial(degree: int = 24) -> tuple[float, ...]:
+    """Coefficients, highest first, of the polynomial in u = 2 t - 1 through Chebyshev points of ``_scaled_tail``."""
+    cheb = np.polynomial.chebyshev.chebinterpolate(lambda u: np.array([_scaled_tail((v + 1) / 2) for v in u]), degree)
+    return tuple(np.polynomial.chebyshev.cheb2poly(cheb)[::-1].tolist())
 
 
 def norm_cdf_column(z: str | Column) -> Column:
-    """Normal CDF of a column: neither Spark nor its SQL has erf, so Arrow batches go through Python."""
-    return F.pandas_udf(_phi, "double")(z)
+    """Normal CDF of a column by built-in functions: the tail is t exp(polynomial - x^2) / 2, x = |z| / sqrt 2, t = 2 / (2 + x)."""
+    z = (F.col(z) if isinstance(z, str) else z).cast("double")
+    x = F.abs(z) / math.sqrt(2)
+    t = F.lit(2.0) / (x + 2.0)
+    log_tail = F.lit(0.0)
+    for c in _tail_polynomial():
+        log_tail = log_tail * (t * 2.0 - 1.0) + F.lit(c)
+    tail = t * F.exp(log_tail - x * x) / 2
+    return F.when(z > 0, 1 - tail).otherwise(tail)
 
 
 def assign_arm(experiment: str, unit: Column, n_arms: int = 2) -> Column:
@@ -52,12 +74,3 @@ def assign_arm_value(experiment: str, unit: object, n_arms: int = 2) -> int:
 def one_row(df: DataFrame, aggregates: Sequence[Column]) -> dict:
     """A single global aggregate, as a dictionary."""
     return df.agg(*aggregates).first().asDict()
-
-
-def average_rank(column: str, over: DataFrame) -> DataFrame:
-    """(value, n, rank): average-tie ranks of the distinct values; one row for each value, counted first."""
-    from pyspark.sql import Window
-
-    counts = over.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.select(column, "n", (below + (F.col("n") + 1) / 2).alias("rank"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import norm_ppf, one_row, two_sided_p
+from ..sources.settle import settle
 from .experiments import TestResult, welch_from_moments
 
 
@@ -71,7 +72,12 @@ def sigmoid(z: Column) -> Column:
 
 
 def fit_logistic(df: DataFrame, features: Sequence[str], y: str, ridge: float = 1e-6, max_iter: int = 100, tol: float = 1e-10) -> np.ndarray:
-    """Newton steps; each is one Spark aggregate of the gradient and Hessian. The ridge includes the intercept."""
+    """Newton steps over the design columns, written once. The ridge includes the intercept."""
+    return _newton(settle(df.select(*dict.fromkeys([*features, y]))), features, y, ridge, max_iter, tol)
+
+
+def _newton(df: DataFrame, features: Sequence[str], y: str, ridge: float = 1e-6, max_iter: int = 100, tol: float = 1e-10) -> np.ndarray:
+    """Each step is one Spark aggregate of the gradient and Hessian."""
     names = list(features)
     k = len(names) + 1
     if df.where(F.col(y).isNull() | ~F.col(y).cast("double").isin(0.0, 1.0)).limit(1).count():
@@ -210,7 +216,8 @@ class IpwResult:
 
 def ipw_diagnostics(df: DataFrame, features: Sequence[str], d: str, y: str, overlap_eps: float = 0.02) -> dict:
     """Propensity fit, then Hajek means, overlap and weighted balance in one wide aggregate and the error in another."""
-    beta = fit_logistic(df, features, d)
+    df = settle(df.select(*dict.fromkeys([*features, d, y])))
+    beta = _newton(df, features, d)
     e = sigmoid(linear_predictor(list(features), beta))
     rows = df.select(e.alias("e"), F.col(d).cast("double").alias("d"), F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features)])
     rows = rows.withColumn("wt", F.col("d") / F.col("e")).withColumn("wc", (1 - F.col("d")) / (1 - F.col("e")))
@@ -271,10 +278,11 @@ def two_stage_least_squares(df: DataFrame, z: str, x: str, y: str, f_threshold:
 
 def t_learner(df: DataFrame, features: Sequence[str], d: str, y: str, out: str = "cate") -> DataFrame:
     """Every row with the difference of two logistic fits, one for each arm."""
-    n = one_row(df, [F.count_if(F.col(d).cast("int") == 1).alias("t"), F.count_if(F.col(d).cast("int") == 0).alias("c")])
+    rows = settle(df.select(*dict.fromkeys([*features, d, y])))
+    n = one_row(rows, [F.count_if(F.col(d).cast("int") == 1).alias("t"), F.count_if(F.col(d).cast("int") == 0).alias("c")])
     if min(n["t"], n["c"]) < 30:
         raise ValueError("under 30 rows in an arm")
-    fits = [fit_logistic(df.where(F.col(d).cast("int") == arm), features, y) for arm in (1, 0)]
+    fits = [_newton(rows.where(F.col(d).cast("int") == arm), features, y) for arm in (1, 0)]
     p1, p0 = (sigmoid(linear_predictor(list(features), b)) for b in fits)
     return df.withColumn(out, p1 - p0)
 

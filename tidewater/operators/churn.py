@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import prefix_sums
 from ..functions.stats import one_row
 from ..sources.settle import settle
 from .risk import auc
@@ -109,9 +110,9 @@ def dummy_scores(rows: DataFrame, rate: float, seed: int = 42) -> DataFrame:
 def average_precision(df: DataFrame, label: str = "label", score: str = "p") -> float:
     """Step-wise area under precision and recall, over counts of distinct scores."""
     by = df.groupBy(score).agg(F.sum(label).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = by.withColumn("_tp", F.sum("_p").over(w)).withColumn("_all", F.sum("_n").over(w))
-    return one_row(rows, [(F.sum(F.col("_p") * F.col("_tp") / F.col("_all")) / F.sum("_p")).alias("ap")])["ap"]
+    rows = prefix_sums(by, [score], ["_p", "_n"])
+    flagged = lambda c: F.col(f"{c}_all") - F.col(f"{c}_before")  # noqa: E731  (this score and higher ones)
+    return one_row(rows, [(F.sum(F.col("_p") * flagged("_p") / flagged("_n")) / F.sum("_p")).alias("ap")])["ap"]
 
 
 def evaluate(scored: DataFrame, label: str = "churned") -> dict[str, float]:

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import exact_percentiles
 from ..functions.stats import one_row
 from .churn import calibration_summary
 
@@ -16,17 +17,17 @@ MIN_VALUES = 10
 def ks_drift(reference: DataFrame, current: DataFrame, columns: list[str], threshold: float = 0.1) -> DataFrame:
     """column, statistic, drifted: largest gap of the empirical distributions over pooled decile edges.
 
-    One pass for the edges of all columns, one for the gaps; columns with under 10 values are left out."""
+    The edges of all columns are found together, the gaps in one more pass; columns with under 10 values are left out."""
     both = reference.select(*columns, F.lit(0).alias("_side")).unionByName(current.select(*columns, F.lit(1).alias("_side")))
-    tenths = F.array(*[F.lit(k / 10) for k in range(11)])
-    first = one_row(both, [x for c in columns for x in (F.percentile(c, tenths).alias(f"e_{c}"), F.count(F.when(F.col("_side") == 0, F.col(c))).alias(f"r_{c}"), F.count(F.when(F.col("_side") == 1, F.col(c))).alias(f"c_{c}"))])
+    first = one_row(both, [F.count(F.when(F.col("_side") == side, F.col(c))).alias(f"{k}_{c}") for c in columns for side, k in enumerate("rc")])
     used = [c for c in columns if min(first[f"r_{c}"], first[f"c_{c}"]) >= MIN_VALUES]
     if not used:
         return both.sparkSession.createDataFrame([], "column string, statistic double, drifted boolean")
+    edges = exact_percentiles(both, used, [k / 10 for k in range(11)])
 
     def gap(c: str):
         below = lambda side, e: F.avg(F.when((F.col("_side") == side) & F.col(c).isNotNull(), (F.col(c) <= F.lit(e)).cast("double")))
-        return F.greatest(*[F.abs(below(0, e) - below(1, e)) for e in first[f"e_{c}"]])
+        return F.greatest(*[F.abs(below(0, e) - below(1, e)) for e in edges[c]])
 
     stats = both.agg(*[F.struct(F.lit(c).alias("column"), gap(c).alias("statistic")).alias(c) for c in used])
     return stats.select(F.explode(F.array(*used)).alias("x")).select("x.*", (F.col("x.statistic") > threshold).alias("drifted"))
@@ -66,10 +67,14 @@ def calibration_check(scored: DataFrame, label: str = "label", bins: int = 10, l
 
 def latency_report(requests: DataFrame, keep_last: int = 10_000, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """endpoint, p50, p95, p99 (nearest rank over the last ``keep_last`` of each endpoint, ms, 2 digits), n, error_rate (over all)."""
-    rank = F.row_number().over(Window.partitionBy("endpoint").orderBy(*[F.desc(c) for c in order]))
-    rows = requests.withColumn("_rank", rank)
-    last = F.sort_array(F.collect_list(F.when(F.col("_rank") <= keep_last, F.col("latency"))))  # at most keep_last values
-    by = rows.groupBy("endpoint").agg(last.alias("_v"), F.count(F.lit(1)).alias("n"), F.avg(F.col("error").cast("double")).alias("error_rate"))
+    latest = [F.desc(c) for c in order]
+    # an endpoint is dealt over shares by hash; the last of it are among the last of each share
+    rows = requests.select("endpoint", "latency", *order, F.pmod(F.xxhash64(*order), F.lit(256)).alias("_share"))
+    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("endpoint", "_share").orderBy(*latest))).where(F.col("_rank") <= keep_last)
+    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("endpoint").orderBy(*latest))).where(F.col("_rank") <= keep_last)
+    last = rows.groupBy("endpoint").agg(F.sort_array(F.collect_list("latency")).alias("_v"))  # at most keep_last values
+    by = requests.groupBy("endpoint").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("error").cast("double")).alias("error_rate"))
+    by = by.withColumnRenamed("endpoint", "_endpoint").join(last, F.col("_endpoint").eqNullSafe(F.col("endpoint")))
     at = lambda q: F.round(F.get("_v", F.least(F.floor(F.size("_v") * q), F.size("_v") - 1).cast("int")) * 1000, 2)
     return by.select("endpoint", at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), "n", "error_rate")
 

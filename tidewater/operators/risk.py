@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import average_rank, one_row
+from ..functions.ranks import exact_percentiles, prefix_sums
+from ..functions.stats import one_row
 
 WINDOW = 15
 
@@ -123,9 +124,9 @@ def isolation_forest_detector(spark: SparkSession, series: DataFrame, n_flags: i
 
 def auc(df: DataFrame, label: str = "label", score: str = "p") -> float:
     """Mann-Whitney with tie averaging, over counts of distinct scores."""
-    ranks = average_rank(score, df)
-    pos = df.where(F.col(label) == 1).groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_p"))
-    r = one_row(ranks.join(pos, F.col(score) == F.col("_s"), "left"), [F.sum(F.col("rank") * F.coalesce("_p", F.lit(0))).alias("r"), F.sum("_p").alias("p"), F.sum("n").alias("n")])
+    counts = df.groupBy(F.col(score).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("p"))
+    rank = F.col("n_before") + (F.col("n") + 1) / 2
+    r = one_row(prefix_sums(counts, ["v"], ["n"]), [F.sum(rank * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n")])
     p, n = r["p"] or 0, r["n"] or 0
     if not p or p == n:
         raise ValueError("both classes are needed")
@@ -159,9 +160,8 @@ def threshold_costs(df: DataFrame, cost_fp: float, cost_fn: float, label: str =
     cand = by_score.select(F.bround("v", 4).alias("v")).union(df.sparkSession.createDataFrame([(0.0,), (1.0,)], "v double")).distinct()
     rows = by_score.select("v", "pos", "neg", F.lit(1).alias("row")).unionByName(cand.select("v", F.lit(0).alias("pos"), F.lit(0).alias("neg"), F.lit(0).alias("row")))
     # a candidate stands before the rows of its own value: those are flagged
-    w = Window.orderBy("v", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("fn", F.sum("pos").over(w)).withColumn("tn", F.sum("neg").over(w)).withColumn("neg_all", F.sum("neg").over(Window.partitionBy()))
-    return rows.where("row = 0").select(F.col("v").alias("threshold"), (F.lit(cost_fp) * (F.col("neg_all") - F.col("tn")) + F.lit(cost_fn) * F.col("fn")).alias("cost"))
+    rows = prefix_sums(rows, ["v", "row"], ["pos", "neg"])
+    return rows.where("row = 0").select(F.col("v").alias("threshold"), (F.lit(cost_fp) * (F.col("neg_all") - F.col("neg_before")) + F.lit(cost_fn) * F.col("pos_before")).alias("cost"))
 
 
 def cost_optimal_threshold(df: DataFrame, cost_fp: float, cost_fn: float, **columns) -> tuple[float, float]:
@@ -174,8 +174,7 @@ def cost_optimal_threshold(df: DataFrame, cost_fp: float, cost_fn: float, **colu
 
 def psi_bins(reference: DataFrame, current: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """bin, expected, actual: shares in the reference's quantile bins, floored at 1e-6."""
-    cuts = one_row(reference, [F.percentile(column, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("c")])["c"]
-    edges = sorted(set(cuts))
+    edges = sorted(set(exact_percentiles(reference, [column], [k / bins for k in range(1, bins)])[column]))
 
     def shares(df: DataFrame, name: str) -> DataFrame:
         k = F.lit(0)

@@ -39,7 +39,7 @@ ARMS = f"""arms AS (SELECT c_custkey AS unit, CAST(('0x' || substr(sha256('{EXPE
     c_acctbal >= 0 AS converted, c_nationkey < 20 AS kept, c_acctbal AS x, c_acctbal * 0.5 + c_nationkey * 10 AS y FROM customer),
     m AS (SELECT count(*) FILTER (arm = 0)::DOUBLE AS nc, count(*) FILTER (arm = 1)::DOUBLE AS nt, count(*) FILTER (arm = 0 AND converted)::DOUBLE AS xc, count(*) FILTER (arm = 1 AND converted)::DOUBLE AS xt,
       count(*) FILTER (arm = 0 AND kept)::DOUBLE AS kc, count(*) FILTER (arm = 1 AND kept)::DOUBLE AS kt FROM arms)"""
-Z975 = "1.959963984540054"
+Z975, Z95, Z80 = "1.959963984540054", "1.6448536269514722", "0.8416212335729143"
 
 
 def two_prop(spark, d):
@@ -111,12 +111,12 @@ def iv(spark, d):
 
 
 def ipw(spark, d):
-    m = c.ipw_diagnostics(a.ipw_rows(Tables(spark, d)).cache(), ["x"], "d", "y")
+    m = c.ipw_diagnostics(a.ipw_rows(Tables(spark, d)), ["x"], "d", "y")
     return one(spark, 4, ate=m["ate"], se=m["se"], e_min=m["emin"], e_max=m["emax"], max_smd=abs(m["max_smd"]))
 
 
 def t_learner(spark, d):
-    rows = a.ipw_rows(Tables(spark, d)).withColumn("d", F.col("d").cast("int")).cache()
+    rows = a.ipw_rows(Tables(spark, d)).withColumn("d", F.col("d").cast("int"))
     scored = c.t_learner(rows, ["x"], "d", "y")
     return scored.groupBy("x").agg(F.round(F.avg("cate"), 4).alias("cate"), F.count(F.lit(1)).alias("n"))
 
@@ -148,9 +148,27 @@ QUERIES = {
 }
 
 _W = """(mt - mc) / sqrt(vc / nc + vt / nt)"""
+_UNITS = f"""ceil(({Z975} * sqrt(2 * ({{b}} + {{o}}) / 2 * (1 - ({{b}} + {{o}}) / 2)) + {Z80} * sqrt({{b}} * (1 - {{b}}) + {{o}} * (1 - {{o}}))) ** 2 / ({{o}} - {{b}}) ** 2)"""
 _SIDE = """count(*) FILTER (WHERE {w})::DOUBLE AS n{k}, avg(r) FILTER (WHERE {w}) AS mx{k}, avg(y) FILTER (WHERE {w}) AS my{k}, var_pop(r) FILTER (WHERE {w}) AS vx{k}, var_pop(y) FILTER (WHERE {w}) AS vy{k}, covar_pop(y, r) FILTER (WHERE {w}) AS c{k}"""
 ORACLE = {
     "assign_arm": f"WITH {ARMS} SELECT unit, arm FROM arms",
+    "experiment_readout": f"""WITH {ARMS}, q AS (SELECT *, xt / nt - xc / nc AS e, (xc + xt) / (nc + nt) AS p, abs((nt - (nc + nt) * 0.5) / sqrt((nc + nt) * 0.25)) <= 3.2905267314919255 AS srm,
+          (kt / nt - kc / nc + 0.05) / sqrt(kc / nc * (1 - kc / nc) / nc + kt / nt * (1 - kt / nt) / nt) > {Z95} AS clear,
+          ceil(({Z975} * sqrt(2 * 0.9225 * 0.0775) + {Z80} * sqrt(0.9 * 0.1 + 0.945 * 0.055)) ** 2 / 0.045 ** 2) AS planned FROM m),
+        s AS (SELECT *, abs(e / sqrt(p * (1 - p) * (1 / nc + 1 / nt))) > {Z975} AS sig FROM q)
+        SELECT CASE WHEN NOT srm THEN 'invalid' WHEN sig AND e < 0 THEN 'no_launch' WHEN sig AND clear THEN 'launch' WHEN least(nc, nt) < planned THEN 'continue' ELSE 'no_launch' END AS decision, srm AS srm_passed, CASE WHEN srm THEN round(e, 6) END AS estimate FROM s""",
+    "power_analysis": f"""WITH RECURSIVE g AS (SELECT b::DOUBLE AS b, m::DOUBLE AS m FROM (VALUES (0.05), (0.1), (0.2)) x(b), (VALUES (0.05), (0.1), (0.2)) y(m)),
+        r(k, b, low, high) AS (SELECT 0, b, 1e-9::DOUBLE, (1 - 1e-9) / b - 1 FROM (SELECT DISTINCT b FROM g)
+          UNION ALL SELECT k + 1, b, CASE WHEN {_UNITS.format(o='o', b='b')} > 20000 THEN mid ELSE low END, CASE WHEN {_UNITS.format(o='o', b='b')} > 20000 THEN high ELSE mid END
+          FROM (SELECT k, b, low, high, (low + high) / 2 AS mid, b * (1 + (low + high) / 2) AS o FROM r WHERE k < 100))
+        SELECT g.b AS baseline, m AS mde, {_UNITS.format(o='(g.b * (1 + m))', b='g.b')}::BIGINT AS n_per_arm, round(high, 6) AS mde_20k FROM g JOIN r ON g.b = r.b AND k = 100""",
+    # the published boundaries of five looks at 0.05
+    "sequential_crossing": """WITH l AS (SELECT event_type, event_id % 5 + 1 AS look, (avg(value) - 50) / 10 AS z FROM events GROUP BY 1, 2)
+        SELECT event_type, (min(look) FILTER (WHERE abs(z) > [4.877, 3.357, 2.680, 2.290, 2.031][look]))::INTEGER AS first_look FROM l GROUP BY 1""",
+    # a series of positive terms: density * sum of z^(2k+1) / (1 * 3 * ... * (2k+1))
+    "normal_cdf": """WITH z AS (SELECT event_id, (value - 50) / 50 AS z FROM events),
+        t AS (SELECT event_id, z, list_sum(list_transform(range(0, 160), lambda k: exp((2 * k + 1) * ln(greatest(abs(z), 1e-30)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1) - z * z / 2))) / sqrt(2 * pi()) AS half FROM z)
+        SELECT event_id, round(CASE WHEN z > 9 THEN 1.0 WHEN z < -9 THEN 0.0 ELSE 0.5 + sign(z) * half END, 9) AS phi FROM t""",
     "srm": f"WITH {ARMS} SELECT nc::BIGINT AS n_control, nt::BIGINT AS n_treatment, round((nt - (nc + nt) * 0.5) / sqrt((nc + nt) * 0.25), 6) AS z, abs((nt - (nc + nt) * 0.5) / sqrt((nc + nt) * 0.25)) <= 3.2905267314919255 AS passed FROM m",
     "two_prop": f"""WITH {ARMS}, q AS (SELECT *, xt / nt - xc / nc AS e, (xc + xt) / (nc + nt) AS p, {Z975} * sqrt(xc / nc * (1 - xc / nc) / nc + xt / nt * (1 - xt / nt) / nt) AS h FROM m)
         SELECT round(e, 6) AS estimate, round(e - h, 6) AS ci_low, round(e + h, 6) AS ci_high, round(e / sqrt(p * (1 - p) * (1 / nc + 1 / nt)), 6) AS z, nc::BIGINT AS n_control, nt::BIGINT AS n_treatment FROM q""",

@@ -63,7 +63,7 @@ def budget(s, d):
     spend = warehouse.mart(s, d).where(F.col("channel").isin(*PAID)).groupBy("channel").agg(F.avg("spend").alias("x")).orderBy("channel").collect()
     responses = [m.ChannelResponse(r["channel"], 1000.0 * (k + 1), 0.1 * (k + 1), max(r["x"], 1.0)) for k, r in enumerate(spend)]
     got = m.optimal_allocation(responses, sum(r["x"] for r in spend))
-    return s.createDataFrame(list(zip(got.channels, got.daily_spend)), "channel string, daily_spend double")
+    return s.createDataFrame([(k, round(v, 4)) for k, v in zip(got.channels, got.daily_spend)], "channel string, daily_spend double")
 
 
 QUERIES = {
@@ -94,6 +94,33 @@ ORACLE = {
         SELECT src, dst, count(*) AS n FROM (SELECT unnest(s[:-2]) AS src, unnest(s[2:]) AS dst FROM s) GROUP BY 1, 2""",
         "journeys",
     ),
+    "markov_removal": with_views(
+        f"""WITH s AS (SELECT list_concat(list_concat(['{m.START}'], path), [CASE WHEN converted THEN '{m.CONVERTED}' ELSE '{m.LOST}' END]) AS s FROM journeys),
+        c AS (SELECT src, dst, count(*) AS n FROM (SELECT unnest(s[:-2]) AS src, unnest(s[2:]) AS dst FROM s) GROUP BY 1, 2),
+        p AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS p FROM c), gone AS (SELECT unnest(['', 'view', 'click', 'error', 'signup']) AS gone),
+        r(k, gone, state, mass) AS (SELECT 0, gone, '{m.START}', 1.0::DOUBLE FROM gone
+          UNION ALL SELECT k + 1, gone, dst, sum(mass * p) FROM r JOIN p ON r.state = p.src WHERE k < 500 AND dst <> gone GROUP BY k, gone, dst),
+        v AS (SELECT gone, coalesce(sum(mass) FILTER (WHERE state = '{m.CONVERTED}'), 0.0) AS v FROM r GROUP BY 1),
+        e AS (SELECT gone AS channel, greatest((SELECT v FROM v WHERE gone = '') - v, 0) AS e FROM v WHERE gone <> '')
+        SELECT channel, round(e / (SELECT sum(e) FROM e) * (SELECT sum(n) FROM c WHERE dst = '{m.CONVERTED}'), 4) AS credit FROM e""",
+        "journeys",
+        recursive=True,
+    ),
+    "budget_allocation": with_views(
+        f"""WITH x AS (SELECT channel, avg(spend) AS x, row_number() OVER (ORDER BY channel) AS k FROM mart WHERE channel IN {PAID} GROUP BY 1),
+        q AS (SELECT channel, greatest(x, 1.0) * (1 - 0.1 * k) AS a, sqrt(1000.0 * k * greatest(x, 1.0) * (1 - 0.1 * k)) AS c, (SELECT sum(x) FROM x) AS b FROM x),
+        f AS (SELECT *, (b + sum(a) OVER w) / sum(c) OVER w AS mu FROM q WINDOW w AS (ORDER BY c / a DESC ROWS UNBOUNDED PRECEDING)),
+        mu AS (SELECT arg_min(mu, c / a) AS mu FROM f WHERE mu * c > a)
+        SELECT channel, round(greatest(mu.mu * c - a, 0.0), 4) AS daily_spend FROM q, mu""",
+        "mart",
+    ),
+    "adstock_channels": with_views(
+        """WITH x AS (SELECT channel, date, spend, row_number() OVER (PARTITION BY channel ORDER BY date) AS t FROM mart),
+        r(t, channel, date, stock) AS (SELECT t, channel, date, spend FROM x WHERE t = 1 UNION ALL SELECT x.t, x.channel, x.date, x.spend + 0.5 * r.stock FROM r JOIN x ON x.t = r.t + 1 AND x.channel = r.channel)
+        SELECT channel, date, round(stock, 2) AS stock FROM r""",
+        "mart",
+        recursive=True,
+    ),
     "ltv_by_plan": with_views(_LTV + "SELECT plan, n_subscribers, round(h, 4) AS monthly_churn, round(1 / h, 4) AS lifetime_months, round(price, 4) AS price, round(price / h, 4) AS ltv FROM p", "signups", "transactions"),
     "ltv_by_channel": with_views(_LTV + "SELECT channel, count(*) AS n_subscribers, round(avg(price / h), 4) AS avg_ltv FROM k JOIN p USING (plan) GROUP BY 1", "signups", "transactions"),
     "adstock": with_views(
