@@ -235,6 +235,26 @@ def test_suffix_dedup_against_brute_force(spark, keep, split):
     assert [got[k] for k in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("split", [4000, 2])
+def test_suffix_dedup_of_a_planted_corpus(spark, split):
+    """At the default length: a passage in a third of the texts, each time in other surroundings, passages of over 50
+    words on either side of 400 bytes, groups of copies, a long text, a text that repeats itself."""
+    r = np.random.default_rng(11)
+    hot, long, short = words(90, 1), words(75, 2), " ".join(w[:4] for w in words(60, 3).split())
+    assert len(hot) > 400 and len(long) > 400 > len(short)
+    texts = []
+    for k in range(90):
+        t = words(int(r.integers(30, 160)), 1000 + k)
+        inner = hot if k % 3 == 0 else long if k % 7 == 0 else short if k % 5 == 0 else ""
+        texts.append(f"{t} {inner} {words(int(r.integers(5, 90)), 2000 + k)}")
+    texts += [texts[1]] * 12 + [texts[2] + " tail"] * 3 + [words(3000, 4), words(100, 5) * 2, hot, short, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {x["doc_id"]: bytes(x["kept"]) for x in suffix_dedup.remove_repeats(df, split=split).collect()}
+    want = brute_removed([t.encode() for t in texts], 400, "none")
+    assert [got[k] for k in range(len(texts))] == want
+    assert len(want[0]) < len(texts[0]) and want[-2].decode() == short  # under 400 bytes a passage stays, whatever its words
+
+
 def test_suffix_dedup_edges(odd, empty):
     got = suffix_dedup.digest(suffix_dedup.remove_repeats(odd)).collect()
     assert len(got) == 14

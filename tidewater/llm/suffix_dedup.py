@@ -8,13 +8,15 @@ possible, and nothing that could match is left out:
 1. Every string of ``length`` bytes names as its anchor the ``gram``-byte string inside it with the
    smallest hash (the leftmost of equal ones). Equal strings have equal anchors at equal offsets. The
    strings of one anchor are consecutive: a run. Runs are keyed by the hash of the anchor.
-2. By anchor, runs whose whole contexts (the bytes of all their strings) are equal are repeats of each other. A
-   task collapses its own equal contexts before the shuffle, so hot passages send one row for each task.
+2. Runs whose whole contexts (the bytes of all their strings) are equal are repeats of each other. They meet by the hash of anchor
+   and context, so a hot anchor is dealt by its contexts, and a task collapses its own equal contexts before the shuffle. The
+   contexts left are then counted by anchor, with partial counts before that shuffle.
 3. Where one anchor has several different contexts, their bytes are fetched, and a suffix array over
    them, by prefix doubling to ``length`` bytes, puts equal strings next to each other with ascending
    positions: the previous and next smaller positions within such a class are the neighbours, so the longest previous factor
    reaches ``length`` exactly where a class has an earlier member. An anchor with many different contexts is
-   split by longer shared blocks around it (each string then belongs to one block), so no task gets it whole.
+   split by longer shared blocks around it (each string then belongs to one block), so no task gets it whole; equal
+   blocks of one task are sent once.
 
 Equality of anchors and contexts is by 64-bit hashes; equality in step 3 is by bytes. Removed spans are unions over
 the input as it is, not over what is left.
@@ -124,7 +126,7 @@ def find_runs(rows: DataFrame, length: int, gram: int, cells: int, keep: str) ->
             if keep == "none":  # the run that stays is a repeat too
                 marks = np.concatenate([marks, one[(one["dup"] > 0)]])
                 marks = marks[np.lexsort((marks["s"], marks["fp"], marks["id"]))]
-            k, b = _blobs(one, mix(one["ah"]), cells)
+            k, b = _blobs(one, mix(one["ah"] ^ one["ch"]), cells)
             k2, b2 = _blobs(marks, mix(marks["fp"].view(np.uint64) if len(marks) else one["ah"][:0]), cells)
             yield pa.RecordBatch.from_arrays([pa.array(k + k2, pa.int32()), pa.array([0] * len(k) + [1] * len(k2), pa.int32()), pa.array(b + b2, pa.binary())], names=["cell", "kind", "blob"])
 
@@ -146,33 +148,34 @@ def find_runs(rows: DataFrame, length: int, gram: int, cells: int, keep: str) ->
     return rows.mapInArrow(run, "cell int, kind int, blob binary")
 
 
-def match_runs(found: DataFrame, length: int, split: int, keep: str, cells: int) -> DataFrame:
-    """By anchor: spans that repeat (level -1), and runs whose bytes are wanted (level 0 and up)."""
+def match_runs(found: DataFrame, length: int, keep: str, cells: int) -> DataFrame:
+    """Spans that repeat (level -1), and one run of each context of each anchor (level 1 if it is met again, else 0)."""
 
     def run(table: pa.Table) -> pa.Table:
         kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
         known = np.frombuffer(b"".join(b for k, b in zip(kinds, blobs) if k == 1), RUN)
         runs = np.frombuffer(b"".join(b for k, b in zip(kinds, blobs) if k == 0), RUN)
-        out = [_table(known, known["e"] + length)]
-        if len(runs):
-            one, marks = _collapse(runs, keep)
-            if keep == "none":
-                own = one[(one["dup"] > 0)]
-                marks = np.concatenate([marks, own])
-            out.append(_table(marks, marks["e"] + length))
-            at = np.flatnonzero(np.append(True, one["ah"][1:] != one["ah"][:-1]))
-            size = np.repeat(np.diff(np.append(at, len(one))), np.diff(np.append(at, len(one))))
-            ask, size = one[size > 1], size[size > 1]
-            level = np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) / split))).astype(np.int32) * 2 + (ask["dup"] > 0)
-            out.append(_table(ask, ask["e"], ask["q"], level))
-        return pa.Table.from_batches(out)
+        one, marks = _collapse(runs, keep) if len(runs) else (runs, runs)
+        if keep == "none":
+            marks = np.concatenate([marks, one[one["dup"] > 0]])
+        out = [_table(known, known["e"] + length), _table(marks, marks["e"] + length), _table(one, one["e"], one["q"], one["dup"])]
+        anchors = [pa.array(np.zeros(len(known) + len(marks), np.int64)), pa.array(one["ah"].view(np.int64) if len(one) else np.zeros(0, np.int64))]
+        return pa.Table.from_batches(out).append_column("anchor", pa.chunked_array(anchors))
 
     # as many partitions as cells, whose number follows the bytes: a task's share stays the same at any size
-    return found.repartition(cells, "cell").groupBy("cell").applyInArrow(run, MARKS)
+    return found.repartition(cells, "cell").groupBy("cell").applyInArrow(run, MARKS + ", anchor long")
+
+
+def ask_contexts(contexts: DataFrame, split: int) -> DataFrame:
+    """(id, fp, s, e, q, level) of the runs whose anchor has other contexts; the level grows with their number, and is odd for runs met again."""
+    sizes = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / split))).cast("int") * 2 + F.col("level")
+    return contexts.join(sizes, "anchor").select("id", "fp", "s", "e", "q", level.cast("int").alias("level"))
 
 
-def fetch_contexts(rows: DataFrame, asked: DataFrame, length: int, gram: int, cells: int) -> DataFrame:
-    """(id, fp, text) with the asked runs of each -> (cell, blob of contexts, blob of their bytes)."""
+def fetch_contexts(rows: DataFrame, asked: DataFrame, length: int, gram: int, cells: int, keep: str) -> DataFrame:
+    """(id, fp, text) with the asked runs of each -> (cell, kind, blob of contexts, blob of their bytes): kind 0 to compare,
+    kind 1 repeats of another that the task sent, without bytes."""
     asked = asked.groupBy("id", "fp").agg(F.sort_array(F.collect_list(F.struct("s", "e", "q", "level"))).alias("runs"))
     asked = asked.select(F.col("id").alias("_id"), F.col("fp").alias("_fp"), "runs")
     rows = rows.join(asked, rows["id"].eqNullSafe(asked["_id"]) & (rows["fp"] == asked["_fp"])).select("id", "fp", "text", "runs")
@@ -204,6 +207,15 @@ def fetch_contexts(rows: DataFrame, asked: DataFrame, length: int, gram: int, ce
                     recs.append(r)
                     starts.append(at + a[ok])
             recs, starts = np.concatenate(recs), np.concatenate(starts)
+            whole = range_hash(c, starts, starts + recs["n"])
+            order = np.lexsort((recs["s"], recs["fp"], recs["id"], whole, recs["key"]))
+            recs, starts, whole = recs[order], starts[order], whole[order]
+            new = np.ones(len(recs), bool)
+            new[1:] = (recs["key"][1:] != recs["key"][:-1]) | (whole[1:] != whole[:-1])
+            size = np.diff(np.append(np.flatnonzero(new), len(recs)))
+            known = recs[(np.repeat(size, size) > 1) if keep == "none" else ~new]
+            recs, starts = recs[new], starts[new]
+            k2, b2 = _blobs(known, mix(known["fp"].astype(np.uint64)), cells)
             cell = (mix(recs["key"]) % U64(cells)).astype(np.int64)
             order = np.argsort(cell, kind="stable")
             edges = np.searchsorted(cell[order], np.arange(cells + 1))
@@ -215,9 +227,10 @@ def fetch_contexts(rows: DataFrame, asked: DataFrame, length: int, gram: int, ce
                     names.append(k)
                     a.append(recs[o].tobytes())
                     b.append(b"".join([raw[x : x + m] for x, m in zip(starts[o].tolist(), recs["n"][o].tolist())]))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["cell", "heads", "bytes"])
+            kinds = [0] * len(names) + [1] * len(k2)
+            yield pa.RecordBatch.from_arrays([pa.array(names + k2, pa.int32()), pa.array(kinds, pa.int32()), pa.array(a + b2, pa.binary()), pa.array(b + [b""] * len(k2), pa.binary())], names=["cell", "kind", "heads", "bytes"])
 
-    return rows.mapInArrow(run, "cell int, heads binary, bytes binary")
+    return rows.mapInArrow(run, "cell int, kind int, heads binary, bytes binary")
 
 
 def factor_classes(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -298,7 +311,9 @@ def match_contexts(contexts: DataFrame, length: int, keep: str, cells: int) -> D
         yield _table(r, r["s"] + (at[j] - at[i]) + length)
 
     def run(table: pa.Table) -> pa.Table:
-        heads = np.frombuffer(b"".join(table.column("heads").to_pylist()), CONTEXT)
+        kinds, blobs = table.column("kind").to_pylist(), table.column("heads").to_pylist()
+        known = np.frombuffer(b"".join(b for k, b in zip(kinds, blobs) if k == 1), CONTEXT)
+        heads = np.frombuffer(b"".join(b for k, b in zip(kinds, blobs) if k == 0), CONTEXT)
         raw = b"".join(table.column("bytes").to_pylist())
         begins = np.cumsum(heads["n"].astype(np.int64)) - heads["n"]
         order = np.lexsort((heads["s"], heads["fp"], heads["id"], heads["key"]))
@@ -306,7 +321,7 @@ def match_contexts(contexts: DataFrame, length: int, keep: str, cells: int) -> D
         at = np.flatnonzero(np.append(True, heads["key"][1:] != heads["key"][:-1])) if len(heads) else np.zeros(0, np.int64)
         ends = np.append(at[1:], len(heads))
         total = np.cumsum(heads["n"].astype(np.int64))
-        out = [_table(heads[:0], heads["s"][:0])]
+        out = [_table(known, known["s"] + known["n"])]
         k = 0
         while k < len(at):
             most = total[at[k]] - heads["n"][at[k]] + SORT_BYTES
@@ -325,9 +340,9 @@ def repeated_spans(rows: DataFrame, length: int = 400, gram: int = 128, keep: st
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = max(8, -(-total // cell_bytes))
     found = find_runs(rows, length, gram, cells, keep)
-    first = stash(match_runs(found, length, split, keep, cells))
-    asked = first.where("level >= 0").select("id", "fp", "s", "e", "q", "level")
-    second = match_contexts(fetch_contexts(rows, asked, length, gram, cells), length, keep, cells)
+    first = stash(match_runs(found, length, keep, cells))
+    asked = ask_contexts(first.where("level >= 0"), split)
+    second = match_contexts(fetch_contexts(rows, asked, length, gram, cells, keep), length, keep, cells)
     marks = first.where("level < 0").select("id", "fp", "s", "e").unionByName(second.select("id", "fp", "s", "e"))
     return marks.groupBy("id", "fp").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
