@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import marketing, report, sim
+from ..operators import causal, marketing, report, sim
 from ..sources import adapters as a
+from ..sources import io
 from ..sources.adapters import Tables
 from ..streaming import metrics as streaming
 from . import warehouse
@@ -40,7 +41,32 @@ def scenario_review(s, d):
     return s.createDataFrame([(c, float(truth["roas"][k]), got[c]) for k, c in enumerate(names)], "channel string, truth double, estimate double")
 
 
-QUERIES = {"weekly_review": review, "simulated_signups": simulated, "event_windows": event_windows, "event_sessions": event_sessions, "mmm_scenario": scenario_review}
+def causal_report(s, d=None):
+    """Naive, causal and true effect of each simulated scenario."""
+    (geo, a1), (cut, a2), (mail, a3), (price, a4) = ((s.createDataFrame(f), e) for f, e in (sim.geo_rollout(), sim.spend_threshold(), sim.promo_email(), sim.price_instrument()))
+    over = cut.withColumn("over", (F.col("running") >= 0.3).cast("int"))
+    rows = [
+        ("geo rollout", "DiD", causal.naive_difference(geo.where("post"), "treated", "y"), causal.diff_in_diff(geo).att, a1),
+        ("spend threshold", "sharp RDD", causal.naive_difference(over, "over", "outcome"), causal.sharp_rdd(cut, "running", "outcome", 0.3).effect, a2),
+        ("promo email", "IPW", causal.naive_difference(mail, "treated", "outcome"), causal.ipw_ate(mail, ["engagement", "tenure"], "treated", "outcome").ate, a3),
+        ("price change", "2SLS", causal.naive_ols_slope(price, "price", "demand"), causal.two_stage_least_squares(price, "instrument", "price", "demand").estimate, a4),
+    ]
+    return s.createDataFrame([(k, m, *map(float, v)) for k, m, *v in rows], "scenario string, method string, naive double, causal double, truth double")
+
+
+def simulated_tables(s, truth=None):
+    """The three raw tables of a simulated business."""
+    out = sim.simulate(s, truth or sim.DEFAULT)
+    return {"ad_spend_daily": out.ad_spend_daily, "signups": out.signups, "transactions": out.transactions}
+
+
+def exported_market(s, path):
+    """Fit the simulated media market and write its response parameters."""
+    spend, revenue, dow, _ = sim.mmm_market()
+    return io.export_mmm(marketing.fit_mmm(s, spend, revenue, dow, ("a", "b", "c", "d")), spend.mean(axis=0), path)
+
+
+QUERIES = {"causal_report": causal_report, "weekly_review": review, "simulated_signups": simulated, "event_windows": event_windows, "event_sessions": event_sessions, "mmm_scenario": scenario_review}
 ORACLE = {
     "event_windows": "SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "event_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL '30 minutes' OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
