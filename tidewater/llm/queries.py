@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extract, mixing, near_dedup, passage_dedup, quality_rules, suffix_dedup, token_files, toxicity, url_filter
+from . import byte_bpe, decontamination, html_extract, mixing, near_dedup, passage_dedup, quality_rules, suffix_dedup, token_files, toxicity, url_filter
 from ._shared import documents
 
 
@@ -145,6 +145,21 @@ def op10_token_ids(spark, sf_dir):
     return token_files.token_digest(spark, documents(spark, sf_dir), tokenizer_path())
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    got = fill_in_middle.digest(fill_in_middle.transform(documents(spark, sf_dir)))
+    return got.withColumnsRenamed({"prefix_units": "prefix_chars", "middle_units": "middle_chars"})
+
+
+def op13_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return byte_bpe.token_digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries():
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -157,6 +172,9 @@ def queries():
         "op8_quality_rules": op8_quality_rules,
         "op9_decontamination": op9_decontamination,
         "op10_token_ids": op10_token_ids,
+        "op11_collocations": op11_collocations,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_byte_bpe": op13_byte_bpe,
     }
 
 
