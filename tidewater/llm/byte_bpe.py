@@ -167,25 +167,27 @@ def decode(pieces: DataFrame, ranks_path: str, pattern: str, ids_col: str = "tok
     return pieces.mapInArrow(run, f"{kinds}, decoded binary")
 
 
-def digest(pieces: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what ``decode`` gives, one row for each text.
+def digest(pieces: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what ``encode`` gives, one row for each text; the ids are decoded on the way.
 
     Ids are hashed as little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(ranks_path, pattern)
         for batch in batches:
-            raw = [x.tobytes() for x in _ids(column(batch, "token_ids"))]
-            sums = [[hashlib.sha256(x).hexdigest() for x in raw], [hashlib.sha256(x.as_buffer()).hexdigest() for x in column(batch, "decoded")]]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([len(x) // 4 for x in raw], pa.int64()), *(pa.array(s, pa.string()) for s in sums)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids = _ids(column(batch, "token_ids"))
+            sums = [[hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(coder.decode(x)).hexdigest() for x in ids]]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([len(x) for x in ids], pa.int64()), *(pa.array(s, pa.string()) for s in sums)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([column(batch, "row"), column(batch, "seq"), pa.array([x.tobytes() for x in _ids(column(batch, "token_ids"))], pa.binary()), column(batch, "decoded")], names=["row", "seq", "ids", "decoded"])
 
-    whole = pieces.where("parts = 1").select("doc_id", "token_ids", "decoded").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    whole = pieces.where("parts = 1").select("doc_id", "token_ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     many = pieces.where("parts > 1")
     counts = many.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum(F.size("token_ids").cast("long")).alias("n_tokens"))
-    sums = streamed_sha256(many.select("row", "seq", "token_ids", "decoded").mapInArrow(raw, "row long, seq long, ids binary, decoded binary"), "ids", "decoded")
+    spelled = decode(many.select("row", "seq", "token_ids"), ranks_path, pattern)
+    sums = streamed_sha256(spelled.mapInArrow(raw, "row long, seq long, ids binary, decoded binary"), "ids", "decoded")
     return whole.unionByName(counts.join(sums, "row").drop("row"))
 
 
@@ -197,4 +199,4 @@ def _ids(lists: pa.Array) -> list[np.ndarray]:
 
 def token_digest(docs: DataFrame, ranks_path: str, pattern: str, **options) -> DataFrame:
     """Encode, decode and digest every text."""
-    return digest(decode(encode(docs, ranks_path, pattern, **options), ranks_path, pattern))
+    return digest(encode(docs, ranks_path, pattern, **options), ranks_path, pattern)
