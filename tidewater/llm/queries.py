@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, html_extract, mixing, near_dedup, passage_dedup, quality_rules, suffix_dedup, token_files, toxicity, url_filter
+from . import byte_bpe, decontamination, fill_in_middle, html_extract, mixing, near_dedup, passage_dedup, quality_rules, suffix_dedup, token_files, toxicity, url_filter
 from ._shared import documents
 
 
@@ -154,6 +154,24 @@ def op12_fill_in_middle(spark, sf_dir):
     return got.withColumnsRenamed({"prefix_units": "prefix_chars", "middle_units": "middle_chars"})
 
 
+OP12_SQL = r"""
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents
+), g AS (
+  SELECT *, list_transform([1, 9, 17, 25], lambda i: list_reduce(list_transform(range(8), lambda j: strpos('0123456789abcdef', substr(x, (i + j)::BIGINT, 1)) - 1), lambda a, b: a * 16 + b)) AS h FROM h
+), c AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g
+), p AS (
+  SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN (b - a)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END) AS output_sha256,
+       sha256(prefix || middle || suffix) AS restored_sha256
+FROM p
+"""
+
+
 def op13_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -182,4 +200,5 @@ def oracle_sql():
     return {
         "op1_mix_sources": OP1_SQL,
         "op6_url_filter": OP6_SQL,
+        "op12_fill_in_middle": OP12_SQL,
     }
