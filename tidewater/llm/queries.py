@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, fill_in_middle, html_extract, mixing, near_dedup, passage_dedup, quality_rules, suffix_dedup, token_files, toxicity, url_filter
+from . import byte_bpe, collocations, decontamination, fill_in_middle, html_extract, mixing, near_dedup, passage_dedup, quality_rules, suffix_dedup, token_files, toxicity, url_filter
 from ._shared import documents
 
 
@@ -149,6 +149,38 @@ def op11_collocations(spark, sf_dir):
     return collocations.collocations(documents(spark, sf_dir))
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
+), w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p
+), g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase FROM w, range(1, 5) AS s(k) WHERE len(ws) >= k
+), f AS (
+  SELECT lang, phrase, k AS words, count(*)::BIGINT AS a FROM g GROUP BY ALL
+), n AS (
+  SELECT lang, sum(a)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang
+), c AS (
+  SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE words > 1 AND a >= 30
+), cut AS (
+  SELECT c.lang, c.phrase, c.a, k, array_to_string(ws[:k], ' ') AS first, array_to_string(ws[k + 1:], ' ') AS rest FROM c, range(1, 4) AS s(k) WHERE k < words
+), s AS (
+  SELECT cut.*, l.a AS l, r.a AS r, ((2000000::HUGEINT * cut.a) // (l.a::HUGEINT + r.a))::BIGINT AS score
+  FROM cut JOIN f AS l ON cut.lang = l.lang AND cut.first = l.phrase JOIN f AS r ON cut.lang = r.lang AND cut.rest = r.phrase
+), b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), i AS (
+  SELECT lang, array_to_string(ws[j : j + m - 1], ' ') AS phrase, max(a) AS longer FROM c, range(2, 4) AS x(m), range(1, 4) AS y(j) WHERE m < words AND j + m - 1 <= words GROUP BY ALL
+)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase))::BIGINT AS rank, b.phrase, a, l, r, n, score
+FROM b LEFT JOIN i ON b.lang = i.lang AND b.phrase = i.phrase JOIN n ON b.lang = n.lang
+WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+QUALIFY rank <= 2000
+"""
+
+
 def op12_fill_in_middle(spark, sf_dir):
     got = fill_in_middle.digest(fill_in_middle.transform(documents(spark, sf_dir)))
     return got.withColumnsRenamed({"prefix_units": "prefix_chars", "middle_units": "middle_chars"})
@@ -200,5 +232,6 @@ def oracle_sql():
     return {
         "op1_mix_sources": OP1_SQL,
         "op6_url_filter": OP6_SQL,
+        "op11_collocations": OP11_SQL,
         "op12_fill_in_middle": OP12_SQL,
     }
