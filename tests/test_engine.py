@@ -234,8 +234,6 @@ def test_media_mix_and_budget(spark, tmp_path):
     assert plan.run(budget=500.0).ok and plan.run(budget=-1).error_code == "INVALID_BUDGET"
     io.write_text(path, "{}")
     assert plan.run(budget=1.0).error_code == "INVALID_MMM_PARAMS"
-    col = spark.createDataFrame([([1.0, 2.0, 3.0],)], "x array<double>").select(marketing.adstock_column(F.col("x"), 0.5)).first()[0]
-    assert np.allclose(col, marketing.adstock(np.array([1.0, 2.0, 3.0]), 0.5))
 
 
 # -- forecasting and risk

@@ -1,11 +1,12 @@
 """Forecasting: seasonal naive, Holt-Winters, boosted stumps, rolling-origin backtests, bottom-up totals.
 
 A series is ordered by position t and has season 7. Recursion is inherently sequential inside one series, so series,
-folds and grid points are what tasks share out."""
+folds and grid points are what tasks share out. A model that can be fitted to every prefix of a series in one scan
+(``fit_prefixes``) shares the scan between the folds of a backtest."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -23,9 +24,26 @@ class Forecaster(Protocol):
     def predict(self, horizon: int) -> np.ndarray: ...
 
 
+def fit_prefixes(make: Callable[[], Forecaster], y: np.ndarray, ends: Sequence[int]) -> dict[int, Forecaster | None]:
+    """A model fitted to y[:end] for each end, None where that is too short: in one scan if the model has one."""
+    scan = getattr(make(), "fit_prefixes", None)
+    if scan is not None:
+        return scan(y, ends)
+    out: dict[int, Forecaster | None] = {}
+    for end in ends:
+        try:
+            out[end] = make().fit(y[:end])
+        except ValueError:
+            out[end] = None
+    return out
+
+
 class SeasonalNaive:
     """The last season again and again."""
 
+    def fit_prefixes(self, y, ends):
+        return {e: SeasonalNaive().fit(y[e - SEASON : e]) if e >= SEASON else None for e in ends}
+
     def fit(self, y):
         if len(y) < SEASON:
             raise ValueError("one season at least is needed")
@@ -57,6 +75,32 @@ class HoltWinters:
         self.n = len(y)
         return self
 
+    def fit_prefixes(self, y, ends):
+        """The recurrence runs once, for all parameter triples side by side, and its state is kept at each end."""
+        y = np.asarray(y, float)
+        out = dict.fromkeys(ends)
+        ends = {e for e in ends if e >= 3 * SEASON}
+        if not ends:
+            return out
+        grid = [(a, b, g) for a in ALPHAS for b in BETAS for g in GAMMAS]
+        a, b, g = np.array(grid).T
+        level = np.full(len(grid), y[:SEASON].mean())
+        trend = (y[SEASON : 2 * SEASON].mean() - level) / SEASON
+        season, sse = [v - level for v in y[:SEASON]], np.zeros(len(grid))
+        for t, v in enumerate(y[: max(ends)].tolist()):
+            s = season[t % SEASON]
+            if t >= 2 * SEASON:
+                sse += (v - level - trend - s) ** 2
+            new = a * (v - s) + (1 - a) * (level + trend)
+            trend = b * (new - level) + (1 - b) * trend
+            season[t % SEASON] = g * (v - new) + (1 - g) * s
+            level = new
+            if t + 1 in ends:
+                k = int(np.argmin(sse))
+                m = out[t + 1] = HoltWinters()
+                m.sse, m.level, m.trend, m.season, m.params, m.n = float(sse[k]), float(level[k]), float(trend[k]), [float(x[k]) for x in season], grid[k], t + 1
+        return out
+
     @staticmethod
     def _run(y, a, b, g):
         level, trend = y[:SEASON].mean(), (y[SEASON : 2 * SEASON].mean() - y[:SEASON].mean()) / SEASON
@@ -173,32 +217,52 @@ class BacktestResult:
 QUANTILES = (0.1, 0.5, 0.9)
 
 
-def quantile_forecasts(make: Callable[[], Forecaster], y: np.ndarray, point: np.ndarray) -> dict[float, np.ndarray]:
-    """Tails are the point forecast shifted by error quantiles of a fresh model on a holdout inside the training data."""
-    hold = min(len(y) // 5, 28)
-    try:
-        errors = y[-hold:] - make().fit(y[:-hold]).predict(hold)
-    except ValueError:
-        errors = np.zeros(1)
+def holdout(n: int) -> int:
+    """Days at the end of n that the error quantiles are taken from."""
+    return min(n // 5, 28)
+
+
+def quantile_forecasts(inner: Forecaster | None, y: np.ndarray, point: np.ndarray) -> dict[float, np.ndarray]:
+    """Tails are the point forecast shifted by error quantiles of a model of the data before the holdout (None: too little for one)."""
+    errors = y[-holdout(len(y)) :] - inner.predict(holdout(len(y))) if inner is not None else np.zeros(1)
     return {q: point if q == 0.5 else point + np.quantile(errors, q) for q in QUANTILES}
 
 
 def backtest_rows(series: DataFrame, model: str | Callable[[], Forecaster], first_origin: int, horizon: int = 14, step: int = 28) -> DataFrame:
-    """(key, origin, h, y, forecast, naive, q10, q50, q90): folds are independent rows of work; each sees its past only."""
+    """(key, origin, h, y, forecast, naive, q10, q50, q90): each fold sees its past only.
+
+    A model with a scan of its own is fitted to all origins of a series at once, so the cost is that of one pass over its days. For
+    any other model a fold is a row of work of its own."""
     make = MODELS[model] if isinstance(model, str) else model
+    out = "key string, origin long, h long, y double, forecast double, naive double, q10 double, q50 double, q90 double"
+
+    def rows(key, y: np.ndarray, origins: Sequence[int]) -> pd.DataFrame:
+        fitted = fit_prefixes(make, y, sorted({e for o in origins for e in (o, o - holdout(o))}))
+        naive, found = fit_prefixes(SeasonalNaive, y, origins), []
+        for o in origins:
+            point = (fitted[o] or make().fit(y[:o])).predict(horizon)
+            q = quantile_forecasts(fitted[o - holdout(o)], y[:o], point)
+            found.append({"origin": np.full(horizon, o), "h": np.arange(1, horizon + 1), "y": y[o : o + horizon], "forecast": point, "naive": (naive[o] or SeasonalNaive().fit(y[:o])).predict(horizon), "q10": q[0.1], "q50": q[0.5], "q90": q[0.9]})
+        names = [c.split()[0] for c in out.split(", ")][1:]
+        return pd.DataFrame({"key": pd.Series([key] * (horizon * len(found)), dtype=object), **{c: np.concatenate([np.zeros(0), *(x[c] for x in found)]) for c in names}})
+
+    if hasattr(make(), "fit_prefixes"):
+
+        def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+            y = pdf.sort_values("t")["y"].to_numpy(float)
+            return rows(pdf["key"].iloc[0], y, range(first_origin, len(y) - horizon + 1, step))
+
+        return series.select("key", "t", "y").groupBy("key").applyInPandas(scan, out)
     packed = series.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("t", "y"))).alias("s"), F.count(F.lit(1)).alias("n"))
     folds = packed.where(F.col("n") >= first_origin + horizon).select("key", F.transform("s", lambda x: x["y"]).alias("y"), F.explode(F.sequence(F.lit(first_origin), (F.col("n") - horizon).cast("int"), F.lit(step))).alias("origin"))
-    folds = folds.repartition(F.col("key"), F.col("origin"))
+    folds = folds.repartition(F.col("key"), F.col("origin")).select("key", F.slice("y", 1, F.col("origin") + horizon).alias("y"), "origin")
 
     def run(batches):
         for pdf in batches:
             for key, y, o in zip(pdf["key"], pdf["y"], pdf["origin"]):
-                past, real = np.asarray(y[:o], float), np.asarray(y[o : o + horizon], float)
-                point = make().fit(past).predict(horizon)
-                q = quantile_forecasts(make, past, point)
-                yield pd.DataFrame({"key": key, "origin": o, "h": np.arange(1, horizon + 1), "y": real, "forecast": point, "naive": SeasonalNaive().fit(past).predict(horizon), "q10": q[0.1], "q50": q[0.5], "q90": q[0.9]})
+                yield rows(key, np.asarray(y, float), [o])
 
-    return folds.mapInPandas(run, "key string, origin long, h long, y double, forecast double, naive double, q10 double, q50 double, q90 double")
+    return folds.mapInPandas(run, out)
 
 
 def backtest_metrics(rows: DataFrame) -> DataFrame:

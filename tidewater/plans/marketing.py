@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import marketing as m
 from ..sources import adapters as a
 from ..sources.adapters import Tables, with_views
+from ..sources.settle import settle
 from . import warehouse
 
 TOUCHES = ("view", "click", "error", "signup")
@@ -28,23 +30,18 @@ def _markov(s, d):
 
 
 def adstock_query(s, d):
-    days = warehouse.mart(s, d).where("channel = 'building'").groupBy("channel").agg(F.sort_array(F.collect_list(F.struct("date", "spend"))).alias("x"))
-    spend = F.transform("x", lambda v: v["spend"])
-    out = days.select(F.explode(F.arrays_zip(F.transform("x", lambda v: v["date"]).alias("date"), m.adstock_column(spend, 0.5).alias("stock"))).alias("r"))
-    return out.select("r.date", F.round("r.stock", 2).alias("stock"))
+    return adstock_channels(s, d, "channel = 'building'").drop("channel")
 
 
-def adstock_channels(s, d):
-    """The same for every channel."""
-    days = warehouse.mart(s, d).groupBy("channel").agg(F.sort_array(F.collect_list(F.struct("date", "spend"))).alias("x"))
-    stock = m.adstock_column(F.transform("x", lambda v: v["spend"]), 0.5)
-    out = days.select("channel", F.explode(F.arrays_zip(F.transform("x", lambda v: v["date"]).alias("date"), stock.alias("stock"))).alias("r"))
-    return out.select("channel", "r.date", F.round("r.stock", 2).alias("stock"))
+def adstock_channels(s, d, where="TRUE"):
+    """The stock of every channel by date."""
+    days = Window.partitionBy("channel").orderBy("date")  # a row for each day
+    rows = settle(warehouse.mart(s, d).where(where).select("channel", "date", F.col("spend").alias("x"), (F.row_number().over(days) - 1).cast("long").alias("t")))
+    return m.adstock_rows(rows, 0.5, ("channel",)).select("channel", "date", F.round("stock", 2).alias("stock"))
 
 
 def _fit(s, d):
-    mart = warehouse.mart(s, d).cache()
-    spend, revenue, dow = m.daily_matrix(mart, PAID)
+    spend, revenue, dow = m.daily_matrix(warehouse.mart(s, d), PAID)
     return m.fit_mmm(s, spend, revenue, dow, PAID, allow_negative=True), spend, revenue, dow
 
 
