@@ -3,13 +3,13 @@
 First every task adds the hashes of all phrases of up to ``max_words`` words to a count sketch of one row of cells; summed over
 tasks, a cell is an upper bound of the count of each phrase in it. Cells under ``min_count`` rule out their phrases. Then
 each shard (some MB of text) compiles the phrases of its own that the sketch leaves over into an
-Aho-Corasick automaton and scans itself, counting overlapping matches. The automaton's alphabet is words, not letters: each
-(language, word) that may matter is one symbol, and every other word and every end of a piece is the delimiter, which no
+Aho-Corasick automaton and scans itself, counting overlapping matches. The automaton reads words as numbers: each
+(language, word) that may matter has one, of a fixed few letters, and every other word and every end of a piece is the delimiter, which no
 phrase holds. Counts of shards are summed and only then are thresholds and scores applied, so the sketch costs time where
 it is loose but never changes a count.
 
-Scale: both passes read the texts once. A cell counts up to 255, which is enough to decide; sketches travel as
-compressed blocks of 65,536 cells and add up as they arrive. The cells are as many as an eighth of the bytes of text, 2**28 at most, and what
+Scale: both passes read the texts once. A cell counts up to ``min_count`` (255 at most), which is enough to decide; sketches travel as
+compressed gaps between the cells in use, by blocks of 262,144, and add up as they arrive. The cells are as many as a sixteenth of the bytes of text, 2**28 at most, and what
 is sent to tasks is one bit a cell: 32 MB at most. Beyond that size more phrases pass and the second shuffle, of summed
 counts by phrase, grows up to that of plain counting. An automaton holds phrases of one shard only. Ranks are taken in 64 shares of a language before they meet.
 
@@ -21,6 +21,8 @@ apart by 64-bit hashes within a shard and by their strings between shards. Other
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +32,11 @@ from pyspark.sql import functions as F
 from ._pieces import column
 from ._shared import U64, gram_hashes, mix, prefix_hash, range_hash, slices, stash
 
-#: Bytes of text in a shard, and the words of one automaton (symbols are code points, of which there are 1.1 million).
+#: Bytes of text in a shard, and the words of one automaton.
 SHARD_BYTES, SHARD_WORDS = 3_000_000, 1_000_000
 #: Hashes that a task gathers before it hands its sketch on.
 GATHER = 12_000_000
-BLOCK = 1 << 16
+BLOCK = 1 << 18
 MOST_CELLS = 1 << 28
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -73,12 +75,13 @@ def _sketch(texts: DataFrame, cells: int, max_words: int, min_count: int) -> np.
 
         def blocks() -> Iterator[pa.RecordBatch]:
             found, n = np.unique(np.concatenate(held), return_counts=True)
-            block, inside, n = found // BLOCK, found % BLOCK, np.minimum(n, 255).astype(np.uint8)
+            block, n = found // BLOCK, np.minimum(n, least).astype(np.uint8)
             ends = np.flatnonzero(np.append(block[1:] != block[:-1], True)) + 1
             for a, b in zip(np.concatenate([[0], ends[:-1]]), ends):
-                dense = np.zeros(BLOCK, np.uint8)
-                dense[inside[a:b]] = n[a:b]
-                yield pa.RecordBatch.from_arrays([pa.array([int(block[a])], pa.int64()), pa.array([press.compress(dense.tobytes())], pa.binary())], names=["block", "counts"])
+                inside = found[a:b] % BLOCK
+                gaps = np.diff(inside, prepend=0)
+                parts = [press.compress(x.astype(np.uint8).tobytes()) for x in (gaps & 255, gaps >> 8 & 255, gaps >> 16, n[a:b])]
+                yield pa.RecordBatch.from_arrays([pa.array([int(block[a])], pa.int64()), pa.array([parts], pa.list_(pa.binary()))], names=["block", "counts"])
 
         for rows, buf, off in slices(batches, "text", SHARD_BYTES):
             _, _, _, piece, _, h = _words(rows, buf, off)
@@ -96,28 +99,28 @@ def _sketch(texts: DataFrame, cells: int, max_words: int, min_count: int) -> np.
 
         press, sums = zstandard.ZstdDecompressor(), {}
         for batch in batches:
-            for block, data in zip(column(batch, "block").to_pylist(), column(batch, "counts")):
-                more = np.frombuffer(press.decompress(data.as_buffer(), BLOCK), np.uint8)
-                if (had := sums.get(block)) is None:
-                    sums[block] = more.copy()
-                else:
-                    np.add(had, np.minimum(more, 255 - had), out=had)
+            for block, parts in zip(column(batch, "block").to_pylist(), column(batch, "counts").to_pylist()):
+                low, middle, high, n = (np.frombuffer(press.decompress(x), np.uint8) for x in parts)
+                at = np.cumsum(low.astype(np.int64) + (middle.astype(np.int64) << 8) + (high.astype(np.int64) << 16))
+                had = sums.setdefault(block, np.zeros(BLOCK, np.uint8))
+                had[at] += np.minimum(n, 255 - had[at])
         for block, counts in sums.items():
             if (counts >= least).any():
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(counts >= least).tobytes()], pa.binary())], names=["block", "bits"])
 
-    parts = texts.mapInArrow(add, "block long, counts binary").repartition("block")
+    parts = texts.mapInArrow(add, "block long, counts array<binary>").repartition("block")
     bits = np.zeros(cells // 8, np.uint8)
     for r in parts.mapInArrow(total, "block long, bits binary").toLocalIterator(prefetchPartitions=True):
         bits[r["block"] * (BLOCK // 8) : (r["block"] + 1) * (BLOCK // 8)] = np.frombuffer(r["bits"], np.uint8)
     return bits
 
 
-def _symbols(ids: np.ndarray) -> str:
-    """A string with one code point for each id: 0 is the delimiter, surrogates are left out."""
-    point = ids.astype(np.uint32) + 1
-    point[point >= 0xD800] += 0x800
-    return point.astype("<u4").tobytes().decode("utf-32-le")
+def _symbols(ids: np.ndarray, digits: int) -> str:
+    """A string of ``digits`` letters for each id, 0 being the delimiter. Each place has 16 letters of its own.
+
+    So no match begins inside a word, and no node of an automaton has many branches, which the library searches one by one."""
+    places = np.arange(digits - 1, -1, -1)
+    return (((ids[:, None] >> (4 * places)) & 15) + 16 * places + 1).astype(np.uint8).tobytes().decode("latin-1")
 
 
 def _shard(low, s, e, piece, h, passes, a: int, b: int, max_words: int) -> tuple[list[str], list[int], list[int], np.ndarray]:
@@ -148,6 +151,7 @@ def _shard(low, s, e, piece, h, passes, a: int, b: int, max_words: int) -> tuple
     phrases, lengths, counts, places = [spelled[k] for k in found], [1] * len(found), n[found].tolist(), [place[found - 1]]
     # phrases: one automaton over the symbols
     auto, texts, wide, begin = ahocorasick.Automaton(ahocorasick.STORE_INTS), [], [], []
+    digits = max(1, -(-int(ids.max()).bit_length() // 4))
     for k in range(2, max_words + 1):
         at = np.flatnonzero(ok[k][:stay])
         if not len(at):
@@ -158,9 +162,9 @@ def _shard(low, s, e, piece, h, passes, a: int, b: int, max_words: int) -> tuple
         hash_at[keys[1]] = keys[0]
         _, pick = np.unique(hash_at[at], return_index=True)
         rows, at = rows[pick], at[pick]
-        coded = _symbols(rows.reshape(-1))
+        coded, size = _symbols(rows.reshape(-1), digits), k * digits
         for j in range(len(at)):
-            auto.add_word(coded[j * k : (j + 1) * k], len(texts) + j)
+            auto.add_word(coded[j * size : (j + 1) * size], len(texts) + j)
         texts += [" ".join([spelled[x] for x in r]) for r in rows.tolist()]
         wide += [k] * len(at)
         begin.append(at)
@@ -169,12 +173,15 @@ def _shard(low, s, e, piece, h, passes, a: int, b: int, max_words: int) -> tuple
         new = np.concatenate([[0], np.cumsum(piece[1:] != piece[:-1])])  # a delimiter at each change of piece
         text = np.zeros(width + int(new[-1]), np.int64)
         text[np.arange(width) + new] = ids
-        hits = np.fromiter(auto.iter(_symbols(text)), np.dtype([("end", np.int32), ("which", np.int32)]))
-        word_of = np.zeros(len(text), np.int64)
-        word_of[np.arange(width) + new] = np.arange(width)
-        width_of = np.array(wide)
-        mine = word_of[hits["end"]] - width_of[hits["which"]] + 1 < stay
-        n = np.bincount(hits["which"][mine], minlength=len(texts))
+        found = auto.iter(_symbols(text, digits))
+        if stay == width:
+            hits = np.fromiter(map(itemgetter(1), found), np.int32)
+        else:  # what begins after the shard's own words is the next one's
+            end, hits = np.fromiter(chain.from_iterable(found), np.int32).reshape(-1, 2).T
+            word_of = np.zeros(len(text), np.int64)
+            word_of[np.arange(width) + new] = np.arange(width)
+            hits = hits[word_of[end // digits] - np.array(wide)[hits] + 1 < stay]
+        n = np.bincount(hits, minlength=len(texts))
         phrases, lengths, counts = phrases + texts, lengths + wide, counts + n.tolist()
         places += begin
     return phrases, lengths, counts, a + np.concatenate(places)
@@ -185,7 +192,7 @@ def phrase_counts(docs: DataFrame, min_count: int = 30, max_words: int = 4, text
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     if cells is None:
         size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-        cells = 1 << max(0, (size // 8 - 1)).bit_length()
+        cells = 1 << max(0, (size // 16 - 1)).bit_length()
     cells = min(MOST_CELLS, max(BLOCK, 1 << (cells - 1).bit_length()))
     bits = _sketch(texts, cells, max_words, min_count)
 
