@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import exact_percentiles, prefix_sums
 from ..functions.stats import one_row
+from ..sources.settle import settle
 
 WINDOW = 15
 
@@ -54,61 +55,103 @@ def mad_residual_detector(series: DataFrame, threshold: float = 5.0) -> DataFram
 
 
 def average_path(n) -> np.ndarray:
-    """Mean depth of an unsuccessful search in a tree of n points."""
+    """Mean depth of an unsuccessful search in a tree of n points: 1 for two points, none for one."""
     n = np.asarray(n, float)
     with np.errstate(divide="ignore", invalid="ignore"):
         c = 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649015329) - 2 * (n - 1) / np.maximum(n, 1)
     return np.where(n > 2, c, np.where(n == 2, 1.0, 0.0))
 
 
-def _grow(x: np.ndarray, depth: int, limit: int, rng) -> tuple:
-    if depth >= limit or len(x) <= 1:
-        return (len(x),)
-    spread = np.flatnonzero(x.max(axis=0) > x.min(axis=0))
-    if not len(spread):
-        return (len(x),)
-    f = int(rng.choice(spread))
-    cut = rng.uniform(x[:, f].min(), x[:, f].max())
-    below = x[:, f] < cut
-    return (f, cut, _grow(x[below], depth + 1, limit, rng), _grow(x[~below], depth + 1, limit, rng))
-
-
-def _depths(tree: tuple, x: np.ndarray, depth: int = 0) -> np.ndarray:
-    if len(tree) == 1:
-        return np.full(len(x), depth + float(average_path(tree[0])))
-    out = np.empty(len(x))
-    below = x[:, tree[0]] < tree[1]
-    out[below] = _depths(tree[2], x[below], depth + 1)
-    out[~below] = _depths(tree[3], x[~below], depth + 1)
-    return out
+#: Rows offered to a tree for each one that it takes.
+OFFER = 2
+
+
+def tree_samples(rows: DataFrame, n: int, n_trees: int, sample: int, seed: int = 0) -> DataFrame:
+    """(tree, order, columns of ``rows`` but _row): rows offered to each tree, twice the sample on average or all there are.
+
+    A row is offered to about n_trees * share trees, chosen by hashes of its number ``_row``: a first tree and a
+    stride without a common divisor with the number of trees. So one hash decides for most rows of a large table, and equal
+    rows are offered apart. A tree takes the ``sample`` rows that come first in its own hash ``order``."""
+    share = min(1.0, OFFER * sample / n)
+    whole, part = divmod(n_trees * share, 1)
+    strides = [k for k in range(1, max(2, n_trees)) if math.gcd(k, n_trees) == 1]
+    draw = lambda salt, below: F.pmod(F.xxhash64("_row", F.lit(seed), F.lit(salt)), F.lit(below))
+    times = F.lit(int(whole)) + (draw(1, 1 << 30) < int(part * (1 << 30))).cast("int")
+    stride = F.element_at(F.array(*map(F.lit, strides)), (draw(3, len(strides)) + 1).cast("int"))
+    trees = F.transform(F.sequence(F.lit(0), times - 1), lambda j: F.pmod(draw(2, n_trees) + j * stride, F.lit(n_trees)).cast("int"))
+    offered = rows.where(times > 0).select("*", F.explode(trees).alias("tree"))
+    return offered.withColumn("order", F.xxhash64("_row", "tree", F.lit(seed))).drop("_row")
+
+
+def _grow(x: np.ndarray, limit: int, rng) -> np.ndarray:
+    """Nodes as rows (feature or -1, cut or leaf depth, child below, child not below)."""
+    nodes: list[list[float]] = []
+    work = [(x, 0, -1, 0)]
+    while work:
+        part, depth, parent, side = work.pop()
+        if parent >= 0:
+            nodes[parent][side] = len(nodes)
+        spread = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if depth < limit and len(part) > 1 else ()
+        if not len(spread):
+            nodes.append([-1, depth + float(average_path(len(part))), len(nodes), len(nodes)])
+            continue
+        f = int(rng.choice(spread))
+        cut = rng.uniform(part[:, f].min(), part[:, f].max())
+        below = part[:, f] < cut
+        nodes.append([f, cut, 0, 0])
+        work += [(part[~below], depth + 1, len(nodes) - 1, 3), (part[below], depth + 1, len(nodes) - 1, 2)]
+    return np.array(nodes)
+
+
+def grow_forest(rows: DataFrame, features: list[str], n: int, n_trees: int = 200, sample: int = 256, seed: int = 0) -> DataFrame:
+    """(tree, node, feature, cut, below, above): each tree grows in a task of its own from its share of all rows.
+
+    ``rows`` has the features and ``_row``, a number of the row. A leaf has feature -1 and its depth, with the mean depth of what is left in it, as cut."""
+    size = min(sample, n)
+    limit = max(1, math.ceil(math.log2(max(size, 2))))
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = int(pdf["tree"].iloc[0])
+        x = pdf.sort_values(["order", *features])[features].to_numpy(float)[:size]
+        f, cut, below, above = _grow(x, limit, np.random.default_rng([seed, tree])).T
+        return pd.DataFrame({"tree": tree, "node": np.arange(len(f)), "feature": f.astype(int), "cut": cut, "below": below.astype(int), "above": above.astype(int)})
+
+    offered = tree_samples(rows.select("_row", *features), n, n_trees, size, seed)
+    return offered.groupBy("tree").applyInPandas(grow, "tree int, node int, feature int, cut double, below int, above int")
+
+
+def _mean_depth(trees: list[tuple[np.ndarray, ...]], x: np.ndarray, limit: int) -> np.ndarray:
+    total = np.zeros(len(x))
+    each = np.arange(len(x))
+    for f, cut, below, above in trees:
+        at = np.zeros(len(x), np.int64)
+        for _ in range(limit):
+            at = np.where(x[each, f[at]] < cut[at], below[at], above[at])  # a leaf leads to itself
+        total += cut[at]
+    return total / len(trees)
 
 
 def isolation_scores(spark: SparkSession, df: DataFrame, features: list[str], n_trees: int = 200, sample: int = 256, seed: int = 0) -> DataFrame:
-    """``df`` with a score in (0, 1]: trees grow on bounded samples, scoring is one pass in Arrow batches."""
-    n = df.count()
+    """``df`` with a score in (0, 1]: trees grow in tasks from samples of all rows, scoring is one pass in Arrow batches.
+
+    What the driver holds is the forest, n_trees * 2 * sample nodes at most whatever the rows."""
+    rows = settle(df.withColumn("_row", F.monotonically_increasing_id()))
+    n = rows.count()
     if not n:
         return df.withColumn("score", F.lit(None).cast("double"))
     size = min(sample, n)
-    pool_rows = min(n, 20_000)
-    # a bounded pool for all trees, by hash so that it does not depend on partitions
-    share = min(1.0, pool_rows / n)
-    picked = df.where(F.pmod(F.xxhash64(*features, F.lit(seed)), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000))).select(*features)
-    pool = picked.toPandas().sort_values(features).to_numpy(float)
+    forest = grow_forest(rows, features, n, n_trees, sample, seed).toPandas().sort_values(["tree", "node"])
+    trees = [tuple(g[c].to_numpy() for c in ("feature", "cut", "below", "above")) for _, g in forest.groupby("tree")]
     limit = max(1, math.ceil(math.log2(max(size, 2))))
-    trees = []
-    for k in range(n_trees):
-        rng = np.random.default_rng([seed, k])
-        trees.append(_grow(pool[rng.choice(len(pool), min(size, len(pool)), replace=False)], 0, limit, rng))
     norm = max(float(average_path(size)), 1e-9)
 
     def score(batches):
         for pdf in batches:
-            x = pdf[features].to_numpy(float)
-            yield pdf.assign(score=2.0 ** (-np.mean([_depths(t, x) for t in trees], axis=0) / norm))
+            yield pdf.assign(score=2.0 ** (-_mean_depth(trees, pdf[features].to_numpy(float), limit) / norm))
 
     from pyspark.sql import types as T
 
-    return df.mapInPandas(score, T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())]))
+    return rows.drop("_row").mapInPandas(score, T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def isolation_forest_detector(spark: SparkSession, series: DataFrame, n_flags: int, **options) -> DataFrame:
