@@ -65,20 +65,30 @@ def calibration_check(scored: DataFrame, label: str = "label", bins: int = 10, l
     return {"ece": ece, "calibrated": ece <= limit, "n": m["n"], "warning": None}
 
 
-def latency_report(requests: DataFrame, keep_last: int = 10_000, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """endpoint, p50, p95, p99 (nearest rank over the last ``keep_last`` of each endpoint, ms, 2 digits), n, error_rate (over all)."""
-    latest = [F.desc(c) for c in order]
-    # an endpoint is dealt over shares by hash; the last of it are among the last of each share
-    rows = requests.select("endpoint", "latency", *order, F.pmod(F.xxhash64(*order), F.lit(256)).alias("_share"))
-    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("endpoint", "_share").orderBy(*latest))).where(F.col("_rank") <= keep_last)
-    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("endpoint").orderBy(*latest))).where(F.col("_rank") <= keep_last)
-    last = rows.groupBy("endpoint").agg(F.sort_array(F.collect_list("latency")).alias("_v"))  # at most keep_last values
-    by = requests.groupBy("endpoint").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("error").cast("double")).alias("error_rate"))
+def latest(rows: DataFrame, keep_last: int, order: tuple[str, ...]) -> DataFrame:
+    """The last ``keep_last`` rows of each endpoint: an endpoint is dealt over shares by hash, and the last of it are among the last of each share."""
+    by = [F.desc(c) for c in order]
+    rows = rows.withColumn("_share", F.pmod(F.xxhash64(*order), F.lit(256)))
+    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("endpoint", "_share").orderBy(*by))).where(F.col("_rank") <= keep_last)
+    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy("endpoint").orderBy(*by))).where(F.col("_rank") <= keep_last).drop("_share", "_rank")
+
+
+def latency_figures(last: DataFrame, by: DataFrame) -> DataFrame:
+    """``by`` (endpoint, n, error_rate) with the nearest-rank percentiles of the kept rows (endpoint, latency), in ms with 2 digits."""
+    last = last.groupBy("endpoint").agg(F.sort_array(F.collect_list("latency")).alias("_v"))  # at most keep_last values
     by = by.withColumnRenamed("endpoint", "_endpoint").join(last, F.col("_endpoint").eqNullSafe(F.col("endpoint")))
     at = lambda q: F.round(F.get("_v", F.least(F.floor(F.size("_v") * q), F.size("_v") - 1).cast("int")) * 1000, 2)
     return by.select("endpoint", at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), "n", "error_rate")
 
 
+def latency_report(requests: DataFrame, keep_last: int = 10_000, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """endpoint, p50, p95, p99 (nearest rank over the last ``keep_last`` of each endpoint, ms, 2 digits), n, error_rate (over all).
+
+    ``streaming.latency`` keeps the same figures on a stream."""
+    by = requests.groupBy("endpoint").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("error").cast("double")).alias("error_rate"))
+    return latency_figures(latest(requests.select("endpoint", "latency", *order), keep_last, order), by)
+
+
 def throughput_report(requests: DataFrame, ts: str = "ts") -> DataFrame:
     """total, window_s, rps."""
     r = requests.agg(F.count(F.lit(1)).alias("total"), (F.unix_micros(F.max(F.col(ts).cast("timestamp"))) / 1e6 - F.unix_micros(F.min(F.col(ts).cast("timestamp"))) / 1e6).alias("window_s"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..operators import monitor, risk
 from ..sources import adapters as a
 from ..sources.adapters import Tables, with_views
+from ..sources.settle import shared_folder
+from ..streaming import latency
 from .inference import one
 
 
@@ -52,6 +54,16 @@ def _drift(s, d):
     return got.withColumn("statistic", F.round("statistic", 6))
 
 
+def latency_stream(s, d):
+    """The latency report kept by a stateful stream over the events, fed in four batches of time."""
+    folder = shared_folder(s, "latencies")
+    _requests(Tables(s, d)).withColumn("ts", F.col("ts").cast("timestamp")).repartitionByRange(4, "ts").write.parquet(f"{folder}/requests")
+    rows = s.read.parquet(f"{folder}/requests")
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/requests")
+    latency.keep_latencies(stream, folder).awaitTermination()
+    return _round(latency.latency_report(s, folder), 6)
+
+
 def _round(df, digits=4):
     return df.select(*[F.round(c, digits).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
 
@@ -69,6 +81,7 @@ QUERIES = {
     "ks_drift": _drift,
     "calibration_monitor": _calibration,
     "latency_percentiles": lambda s, d: _round(monitor.latency_report(_requests(Tables(s, d))), 6),
+    "latency_stream": latency_stream,
     "throughput": lambda s, d: _round(monitor.throughput_report(_requests(Tables(s, d))), 6),
     "freshness": _fresh,
 }
@@ -121,3 +134,4 @@ ORACLE = {
     "throughput": "SELECT count(*) AS total, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS window_s, round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 6) AS rps FROM events",
     "freshness": with_views("WITH m AS (SELECT greatest(0, (epoch(TIMESTAMP '2001-01-01') - epoch(CAST(max(txn_date) AS TIMESTAMP))) / 3600.0) AS h FROM transactions) SELECT round(h, 6)::DOUBLE AS hours, h <= 48 AS fresh FROM m", "transactions"),
 }
+ORACLE["latency_stream"] = ORACLE["latency_percentiles"]
