@@ -417,6 +417,17 @@ def test_take_mix_gives_each_row_its_own_passes(spark, odd, empty):
     assert n(mixing.take_mix(empty, queries.MIX_SCHEDULES)) == 0
 
 
+def test_take_mix_of_many_equal_rows(spark):
+    """Copies without an id beside empty texts: each copy is in the mix as often as one place of it, none is lost or doubled."""
+    rows = [(None, "the same words here", "s", "en", k % 2, 7, 1, 2, 3) for k in range(3000)] + [(None, "", "s", "en", 0, 7, 1, 2, 3)] * 500 + [(k, words(40, k), "t", "en", 0, 7, 1, 2, 3) for k in range(50)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    mixed = mixing.mix_sources(docs, queries.MIX_SCHEDULES).collect()
+    got = mixing.take_mix(docs, queries.MIX_SCHEDULES).collect()
+    assert len(got) == sum(len(r["passes"]) for r in mixed)
+    assert sum(len(r["text"].split()) for r in got if r["source"] == "s") == round(next(r["target"] for r in mixed if r["source"] == "s"))
+    assert all(r["text"] for r in got)
+
+
 def test_decontamination_beyond_one_batch(spark):
     r = np.random.default_rng(3)
     p = 1 / np.arange(1, 6001) ** 0.8

@@ -136,23 +136,35 @@ def training_order(mixed: DataFrame) -> DataFrame:
     return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
+def _ranked(rows: DataFrame, key: str, rank: str, *by) -> DataFrame:
+    """``rows`` with a number from 1 on among the rows of a key.
+
+    A key is dealt over 64 shares by the hash of ``by``, and shares start where the ones before end. Nothing but content deals rows out, so
+    that a repeated run gives the same numbers; rows equal in all of ``by`` are numbered in one share, streamed and not gathered."""
+    share, n, before, other, twin = (own_name(x) for x in ("share", "n", "before", "other", "twin"))
+    rows = rows.withColumn(share, F.pmod(F.xxhash64(*by), F.lit(64)))
+    parts = rows.groupBy(F.col(key).alias(other), F.col(share).alias(twin)).agg(F.count(F.lit(1)).alias(n))
+    earlier = Window.partitionBy(other).orderBy(twin).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(other, twin, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before)).where(F.col(before) > 0)
+    rows = rows.join(parts, (F.col(key) == F.col(other)) & (F.col(share) == F.col(twin)), "left")
+    own = F.row_number().over(Window.partitionBy(key, share).orderBy(F.xxhash64(*by)))
+    return rows.withColumn(rank, own + F.coalesce(F.col(before), F.lit(0))).drop(share, before, other, twin)
+
 
 def take_mix(docs: DataFrame, schedules: Sequence[Schedule], max_epochs: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The columns of ``docs``, one row for each pass of the mix over a document, in training order.
 
-    A pass that takes fewer words than the text has keeps the text up to its last taken word."""
+    A pass that takes fewer words than the text has keeps the text up to its last taken word. Rows equal in id, source and text have
+    places of their own in the mix: each of them takes the passes of one place."""
     key = lambda i, s, n, fp: F.xxhash64(F.col(i).isNull(), i, F.col(s).isNull(), s, n, fp)
-    mixed = mix_sources(docs, schedules, max_epochs, id_col, source_col, text_col, by_text=True)
-    # rows equal in id, source and text have places of their own: each takes the passes of one of them
-    i, src, size, fp, k, key_, passes, p, at = (own_name(n) for n in ("id", "source", "size", "fp", "k", "key", "passes", "pass", "at"))
-    some = mixed.groupBy(key("doc_id", "source", "size", "fp").alias(key_)).agg(F.sort_array(F.collect_list(F.struct(F.col("position").isNull().alias("z"), "position", "passes"))).alias("_rows"), F.sum("taken").alias("_t"))
-    some = some.where("_t > 0").select(key_, F.col("_rows.passes").alias(passes))
-    keyed = docs.withColumns({i: F.col(id_col).cast("long"), src: F.col(source_col).cast("string"), size: word_count(F.col(text_col).cast("string")), fp: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    keyed = keyed.withColumn(k, key(i, src, size, fp))
-    rows = keyed.join(some, keyed[k] == some[key_])
+    i, src, size, fp, k, key_, rank, turn, passes, p, at = (own_name(n) for n in ("id", "source", "size", "fp", "k", "key", "rank", "turn", "passes", "pass", "at"))
+    mixed = mix_sources(docs, schedules, max_epochs, id_col, source_col, text_col, by_text=True).where("taken > 0")
+    some = _ranked(mixed.select(key("doc_id", "source", "size", "fp").alias(key_), "position", F.col("passes").alias(passes)), key_, rank, "position").select(key_, rank, passes)
+    rows = docs.withColumns({i: F.col(id_col).cast("long"), src: F.col(source_col).cast("string"), size: word_count(F.col(text_col).cast("string")), fp: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    rows = rows.where(F.col(size) > 0).withColumn(k, key(i, src, size, fp))
     plain = [c for c, kind in docs.dtypes if "map<" not in kind]
-    turn = F.row_number().over(Window.partitionBy(k).orderBy(F.xxhash64(*plain)))
-    rows = rows.withColumn(p, turn).withColumn(p, F.explode(F.get(passes, F.col(p) - 1)))
+    rows = _ranked(rows, k, turn, *plain)
+    rows = rows.join(some, (F.col(k) == F.col(key_)) & (F.col(turn) == F.col(rank))).withColumn(p, F.explode(passes))
     # pieces of white space and the word after it; joined they are the text as it is
     pieces = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     cut = F.when(F.col(f"{p}.words") < F.col(size), F.array_join(F.slice(pieces, F.lit(1), F.col(f"{p}.words").cast("int")), "")).otherwise(F.col(text_col))
