@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-import os
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import prefix_sums
 from ..functions.stats import one_row
+from ..sources import files
 from ..sources.settle import settle
 from .risk import auc
 
@@ -164,36 +163,23 @@ def train_pipeline(training: DataFrame, features, names: tuple[str, ...] | None
     return Trained(name, model, tuple(features), cv, evaluate(score(model, hold)), importance, m["n"], m["rate"])
 
 
-def _digest(path: str) -> str:
-    h = hashlib.sha256()
-    for top, dirs, files in sorted(os.walk(path)):
-        dirs.sort()
-        for f in sorted(files):
-            if not f.endswith(".crc"):
-                h.update(os.path.relpath(os.path.join(top, f), path).encode())
-                with open(os.path.join(top, f), "rb") as g:
-                    h.update(g.read())
-    return h.hexdigest()
-
-
-def save_bundle(trained: Trained, path: str) -> None:
-    """Model, feature contract and card with the model's checksum, under one local folder."""
+def save_bundle(trained: Trained, path: str) -> dict:
+    """Model, feature contract and card with the model's checksum under a folder of any file system; returns the card."""
+    spark = SparkSession.active()
     trained.model.write().overwrite().save(f"{path}/model")
-    with open(f"{path}/features.json", "w") as f:
-        json.dump(list(trained.features), f)
-    card = {"model": trained.name, "cv_roc_auc": trained.cv, "holdout": trained.metrics, "importance": trained.importance, "n_users": trained.n_users, "churn_rate": trained.churn_rate, "n_features": len(trained.features), "sha256": _digest(f"{path}/model")}
-    with open(f"{path}/card.json", "w") as f:
-        json.dump(card, f, indent=1)
+    files.write_text(spark, f"{path}/features.json", json.dumps(list(trained.features)))
+    card = {"model": trained.name, "cv_roc_auc": trained.cv, "holdout": trained.metrics, "importance": trained.importance, "n_users": trained.n_users, "churn_rate": trained.churn_rate, "n_features": len(trained.features), "sha256": files.tree_sha256(spark, f"{path}/model")}
+    files.write_text(spark, f"{path}/card.json", json.dumps(card, indent=1))
+    return card
 
 
 def load_bundle(path: str, features) -> tuple[PipelineModel, dict]:
     """The model, after its feature contract and checksum are verified."""
-    with open(f"{path}/features.json") as f:
-        if json.load(f) != list(features):
-            raise ValueError("the feature contract differs")
-    with open(f"{path}/card.json") as f:
-        card = json.load(f)
-    if card.get("sha256") != _digest(f"{path}/model") or card.get("n_features") != len(features):
+    spark = SparkSession.active()
+    if json.loads(files.read_text(spark, f"{path}/features.json")) != list(features):
+        raise ValueError("the feature contract differs")
+    card = json.loads(files.read_text(spark, f"{path}/card.json"))
+    if card.get("sha256") != files.tree_sha256(spark, f"{path}/model") or card.get("n_features") != len(features):
         raise ValueError("the model does not match its card")
     return PipelineModel.load(f"{path}/model"), card
 
