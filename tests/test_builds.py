@@ -98,6 +98,19 @@ def test_bundle_on_any_file_system(spark, store):
         churn.load_bundle(f"{store}/bundle", ("a", "b"))
 
 
+def test_a_tracked_training_run(spark, store):
+    r = [(k, k % 2, float(k % 7 + 3 * (k % 2)), float(k % 5)) for k in range(120)]
+    model = churn.candidates(("a", "b"))["logistic"].fit(spark.createDataFrame(r, "user_id long, churned int, a double, b double"))
+    made = churn.Trained("logistic", model, ("a", "b"), {"logistic": 0.9, "gbt": 0.8}, {"roc_auc": 0.91}, {"a": 1.0}, 120, 0.5)
+    t = tracking.Tracker(spark, f"{store}/tracking")
+    run = churn.track(made, t, f"{store}/bundles/1")
+    t.move("churn", 1, "production")
+    row = t.runs("churn").first()
+    assert row["run_id"] == run == t.production("churn").run_id and row["metrics"]["cv_roc_auc_gbt"] == 0.8
+    _, card = churn.load_bundle(row["artifacts"], ("a", "b"))
+    assert card["sha256"] == row["tags"]["sha256"]
+
+
 def test_two_runs_one_promoted(spark, store):
     t = tracking.Tracker(spark, f"{store}/tracking")
     assert t.runs().count() == 0 and t.production("churn") is None

@@ -184,6 +184,15 @@ def load_bundle(path: str, features) -> tuple[PipelineModel, dict]:
     return PipelineModel.load(f"{path}/model"), card
 
 
+def track(trained: Trained, tracker, artifacts: str, model: str = "churn", seed: int = 42) -> str:
+    """Save the bundle, log the run (candidates' cross-validated AUC and the holdout's metrics) and register its version; the run's identifier."""
+    card = save_bundle(trained, artifacts)
+    metrics = {**{f"cv_roc_auc_{k}": v for k, v in trained.cv.items()}, **trained.metrics, "churn_rate": trained.churn_rate}
+    run = tracker.log(model, {"champion": trained.name, "features": len(trained.features), "users": trained.n_users, "seed": seed}, metrics, {"sha256": card["sha256"]}, artifacts)
+    tracker.register(model, run)
+    return run
+
+
 def predict_churn(model: PipelineModel, rows: DataFrame, features) -> DataFrame:
     """user_id, probability (6 digits), will_churn (at 0.5)."""
     if missing := set(features) - set(rows.columns):

@@ -7,8 +7,10 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.profile import Comparison, Profile
 from ..functions.ranks import exact_percentiles
 from ..functions.stats import one_row
+from ..sources.settle import shared_folder
 from .churn import calibration_summary
 
 MIN_VALUES = 10
@@ -33,21 +35,37 @@ def ks_drift(reference: DataFrame, current: DataFrame, columns: list[str], thres
     return stats.select(F.explode(F.array(*used)).alias("x")).select("x.*", (F.col("x.statistic") > threshold).alias("drifted"))
 
 
+def ks_drift_profile(reference: Profile, current: DataFrame, columns: list[str], threshold: float = 0.1) -> DataFrame:
+    """The same against a stored profile of the reference, whose rows are not read again."""
+    both = Comparison(reference, current, columns)
+    used = [c for c in columns if min(both.total(c, 0), both.total(c, 1)) >= MIN_VALUES]
+    gaps = {}
+    if used:
+        shares = both.shares_below(both.pooled_percentiles(used, [k / 10 for k in range(11)]))
+        gaps = {c: max(abs(a - b) for a, b in shares[c]) for c in used}
+    rows = [(c, float(g), bool(g > threshold)) for c, g in gaps.items()]
+    return current.sparkSession.createDataFrame(rows, "column string, statistic double, drifted boolean")
+
+
+NUMBERS = ("int", "bigint", "double", "float", "smallint", "tinyint")
+
+
 class DriftMonitor:
-    """Holds a reference; without one a check only warns."""
+    """Holds the profile of a reference, stored once and read by every later check, also of another session; without one a check only warns."""
 
-    def __init__(self, threshold: float = 0.1):
-        self.threshold, self.reference = threshold, None
+    def __init__(self, threshold: float = 0.1, profile: Profile | None = None):
+        self.threshold, self.profile = threshold, profile
 
-    def set_reference(self, df: DataFrame) -> None:
-        self.reference = df
+    def set_reference(self, df: DataFrame, path: str | None = None) -> Profile:
+        """Profile the numeric columns of ``df`` under ``path`` (a new folder of the shared one by default)."""
+        self.profile = Profile.build(df, [c for c, k in df.dtypes if k in NUMBERS], path or shared_folder(df.sparkSession, "profile"))
+        return self.profile
 
     def check(self, current: DataFrame, predictions: str | None = None) -> dict:
-        if self.reference is None:
+        if self.profile is None:
             return {"drifted": [], "prediction_drift": False, "any_drift": False, "warning": "no reference set"}
-        numeric = ("int", "bigint", "double", "float", "smallint", "tinyint")
-        names = [c for c, k in current.dtypes if k in numeric and c in self.reference.columns and c != predictions]
-        found = ks_drift(self.reference, current, names, self.threshold).where("drifted").collect() if names else []
+        names = [c for c, k in current.dtypes if k in NUMBERS and c in self.profile.splits and c != predictions]
+        found = ks_drift_profile(self.profile, current, names, self.threshold).where("drifted").collect() if names else []
         mean = one_row(current, [F.avg(predictions).alias("m")])["m"] if predictions else None
         moved = mean is not None and (mean > 0.7 or mean < 0.1)
         drifted = sorted(r["column"] for r in found)

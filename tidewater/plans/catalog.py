@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ("warehouse", "inference", "marketing", "risk", "forecast", "extras", "served")
+PARTS = ("warehouse", "inference", "marketing", "risk", "forecast", "extras", "served", "lifecycle")
 
 
 def flagship(spark, sf_dir):

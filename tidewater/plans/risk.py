@@ -54,6 +54,15 @@ def _drift(s, d):
     return got.withColumn("statistic", F.round("statistic", 6))
 
 
+def _drift_profile(s, d):
+    """The same check against a stored profile of the reference."""
+    ref, cur = _halves(Tables(s, d))
+    watch = monitor.DriftMonitor()
+    watch.set_reference(ref)
+    got = monitor.ks_drift_profile(watch.profile, cur, ["l_quantity", "l_extendedprice", "l_discount"])
+    return got.withColumn("statistic", F.round("statistic", 6))
+
+
 def latency_stream(s, d):
     """The latency report kept by a stateful stream over the events, fed in four batches of time."""
     folder = shared_folder(s, "latencies")
@@ -79,6 +88,7 @@ QUERIES = {
     "cost_threshold": lambda s, d: risk.threshold_costs(a.scores(Tables(s, d)), 1.0, 10.0),
     "psi": _psi,
     "ks_drift": _drift,
+    "ks_drift_profile": _drift_profile,
     "calibration_monitor": _calibration,
     "latency_percentiles": lambda s, d: _round(monitor.latency_report(_requests(Tables(s, d))), 6),
     "latency_stream": latency_stream,
@@ -135,3 +145,4 @@ ORACLE = {
     "freshness": with_views("WITH m AS (SELECT greatest(0, (epoch(TIMESTAMP '2001-01-01') - epoch(CAST(max(txn_date) AS TIMESTAMP))) / 3600.0) AS h FROM transactions) SELECT round(h, 6)::DOUBLE AS hours, h <= 48 AS fresh FROM m", "transactions"),
 }
 ORACLE["latency_stream"] = ORACLE["latency_percentiles"]
+ORACLE["ks_drift_profile"] = ORACLE["ks_drift"]
