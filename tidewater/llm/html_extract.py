@@ -11,8 +11,8 @@ references are decoded, white space inside a block becomes one space, ``<br>`` c
 space, and the blocks labelled main are joined by a newline in page order.
 
 Edge cases: a null html is empty and gives an empty text; broken markup (unclosed tags, quotes or comments,
-stray end tags) is cut as far as it goes; only scripts, styles, titles, text areas and frames without an end tag hide
-the rest of a page; plain text without tags is one block; null or repeated
+stray end tags) is cut as far as it goes; only comments, scripts, styles, titles, text areas and frames without an end hide
+the rest of a page; nesting of any depth is cut in linear time; plain text without tags is one block; null or repeated
 ids are kept; an empty table gives no rows.
 """
 
@@ -51,16 +51,37 @@ BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset(("hr", "br", "img", "input", "meta", "link", "source", "wbr", "col", "area", "base", "embed", "param", "track"))
-#: What a start tag closes if it is open: the optional end tags of HTML.
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: The optional end tags of HTML: what a start tag closes, unless the second kind was opened since.
+CLOSES = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 
-PATH_DIMS, WORD_DIMS, SHAPE_DIMS = 96, 64, 8
+#: Names that page authors give to containers (fixed values): those of the article, of what is around it, and of either.
+MAIN_NAMES = "content article post entry story main body text single page-content post-content entry-content article-body story-body blog-post markdown prose".split()
+LAYOUT_NAMES = "box wrap wrapper inner outer col column columns row block module container content-wrap grid cell center centre middle mid left right top-row area section panel pane span layout site page col-md-8 col-sm-4 col-lg-6 text-col container-fluid clearfix flex item card unit".split()
+JUNK_NAMES = {
+    "nav": "nav navbar menu navigation breadcrumb breadcrumbs topbar tabs pagination pager toc skip".split(),
+    "header": "header masthead site-header logo branding top banner hero-title tagline".split(),
+    "footer": "footer site-footer bottom colophon copyright legal links credits".split(),
+    "aside": "sidebar side aside widget related recommended trending popular also-read more-stories tags".split(),
+    "ad": "ad ads advert advertisement sponsor sponsored promo banner-ad adsense outbrain taboola".split(),
+    "notice": "cookie cookies consent notice alert gdpr popup modal overlay paywall banner-notice subscribe newsletter signup".split(),
+    "form": "form search login subscribe contact-form newsletter-form signup search-box".split(),
+    "comments": "comments comment comment-list replies discussion disqus responses reader-comments comment-body".split(),
+    "share": "share social sharing follow buttons author-bio byline meta post-meta".split(),
+}
+JUNK_TAGS = {"nav": ("nav", "div", "ul"), "header": ("header", "div"), "footer": ("footer", "div"), "aside": ("aside", "div", "section"), "ad": ("div", "aside", "ins"), "notice": ("div", "section", "dialog"), "form": ("form",), "comments": ("section", "div", "ol"), "share": ("div", "ul")}
+
+#: Words of paths with a slot of their own: block elements, the same as innermost one, and the words of the names above. All
+#: other words share some slots by hash, so an unknown name is never taken for a known one.
+KNOWN = {w: k for k, w in enumerate([*sorted(BLOCK), *(f"^{t}" for t in sorted(BLOCK)), *sorted({f".{w}" for names in (MAIN_NAMES, LAYOUT_NAMES, *JUNK_NAMES.values()) for n in names for w in WORDS.findall(n)})])}
+OTHER_SLOTS = 8
+PATH_DIMS, WORD_DIMS, SHAPE_DIMS = len(KNOWN) + OTHER_SLOTS, 64, 8
 DIMS = PATH_DIMS + WORD_DIMS + SHAPE_DIMS
 HIDDEN = 24
 
 
 def _slot(word: str) -> int:
-    return zlib.crc32(word.encode()) % PATH_DIMS
+    k = KNOWN.get(word)
+    return len(KNOWN) + zlib.crc32(word.encode()) % OTHER_SLOTS if k is None else k
 
 
 def shown_pieces(page: str) -> list[tuple[int, int, re.Match | None]]:
@@ -94,13 +115,58 @@ def shown_pieces(page: str) -> list[tuple[int, int, re.Match | None]]:
     return out
 
 
-def cut_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
-    """(text, path of tags and names, share of the text inside links) of each leaf block that has text."""
-    out: list[tuple[str, tuple[str, ...], float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class Path:
+    """The open elements, and the vector of their tags and names: a slot counts the different words of it that are open.
+
+    A word changes the vector when its first element opens and its last one closes, so deep nesting costs no more than flat markup."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[int, ...]]] = []
+        self.open: dict[str, list[int]] = {}
+        self.times: dict[int, int] = {}
+        self.vector = np.zeros(PATH_DIMS, np.float32)
+        self._kept: np.ndarray | None = None
+
+    def push(self, name: str, words: tuple[str, ...]) -> None:
+        slots = tuple(_slot(w) for w in {name, *words})
+        for k in slots:
+            self.times[k] = n = self.times.get(k, 0) + 1
+            if n == 1:
+                self.vector[k] = 1
+        self.open.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, slots))
+        self._kept = None
+
+    def cut(self, at: int) -> None:
+        """Close the element at this place and all inside it."""
+        while len(self.stack) > at:
+            name, slots = self.stack.pop()
+            self.open[name].pop()
+            for k in slots:
+                self.times[k] -= 1
+                if not self.times[k]:
+                    self.vector[k] = 0
+        self._kept = None
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost open element of these names, -1 if none is open."""
+        return max((self.open[n][-1] for n in names if self.open.get(n)), default=-1)
+
+    def kept(self) -> np.ndarray:
+        """The vector now, with the innermost element's tag once more."""
+        if self._kept is None:
+            self._kept = self.vector.copy()
+            if self.stack:
+                self._kept[_slot("^" + self.stack[-1][0])] += 1
+        return self._kept
+
+
+def cut_blocks(page: str) -> list[tuple[str, np.ndarray, float]]:
+    """(text, path vector, share of the text inside links) of each leaf block that has text."""
+    out: list[tuple[str, np.ndarray, float]] = []
+    path = Path()
     parts: list[str] = []
     linked = link = 0
-    path: tuple[str, ...] = ()
 
     def flush():
         nonlocal linked
@@ -110,7 +176,7 @@ def cut_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             text = _html.unescape(text)
         text = " ".join(text.split())
         if text:
-            out.append((text, path, min(1.0, linked / len(text))))
+            out.append((text, path.kept(), min(1.0, linked / len(text))))
         linked = 0
 
     at = 0
@@ -131,44 +197,32 @@ def cut_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             flush()
             link = 0
             if m[1]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-            else:
-                if stack and stack[-1][0] == "p":
-                    stack.pop()
-                for k in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
-                    if stack[k][0] in CLOSES.get(name, ()):
-                        del stack[k:]
-                        break
-                if name not in VOID:
-                    own = (name,)
-                    if m[3] and "=" in m[3]:
-                        own += tuple(f".{w.lower()}" for g in NAMES.findall(m[3]) for w in WORDS.findall("".join(g)))
-                    stack.append((name, (stack[-1][1] if stack else ()) + own))
-            path = stack[-1][1] if stack else ()
+                if (k := path.last(name)) >= 0:
+                    path.cut(k)
+                continue
+            if path.stack and path.stack[-1][0] == "p":
+                path.cut(len(path.stack) - 1)
+            if name in CLOSES:
+                closes, inside = CLOSES[name]
+                if (k := path.last(*closes)) > path.last(*inside):
+                    if name == "tr" and (row := path.last("tr")) > path.last(*inside):
+                        k = row
+                    path.cut(k)
+            if name not in VOID:
+                words = tuple(f".{w.lower()}" for g in NAMES.findall(m[3]) for w in WORDS.findall("".join(g))) if m[3] and "=" in m[3] else ()
+                path.push(name, words)
     if at < len(page):
         parts.append(page[at:])
     flush()
     return out
 
 
-def block_vectors(blocks: list[tuple[str, tuple[str, ...], float]], place: np.ndarray) -> np.ndarray:
+def block_vectors(blocks: list[tuple[str, np.ndarray, float]], place: np.ndarray) -> np.ndarray:
     """One row for each block; ``place`` is its relative position in its page."""
     n = len(blocks)
     x = np.zeros((n, DIMS), np.float32)
-    memo: dict[tuple[str, ...], np.ndarray] = {}
     for k, (_, path, _) in enumerate(blocks):
-        v = memo.get(path)
-        if v is None:
-            v = np.zeros(PATH_DIMS, np.float32)
-            for w in set(path):
-                v[_slot(w)] += 1
-            if path:
-                v[_slot("^" + next(w for w in reversed(path) if w[0] != "."))] += 1
-            memo[path] = v
-        x[k, :PATH_DIMS] = v
+        x[k, :PATH_DIMS] = path
     raw = [t.encode() for t, _, _ in blocks]
     size = np.array([len(r) for r in raw], np.int64)
     buf = np.frombuffer(b"".join(raw), np.uint8)
@@ -271,22 +325,6 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 # -- training pages ---------------------------------------------------------------------------------------------
 
-#: Names that page authors give to containers (fixed values).
-MAIN_NAMES = "content article post entry story main body text single page-content post-content entry-content article-body story-body blog-post markdown prose".split()
-JUNK_NAMES = {
-    "nav": "nav navbar menu navigation breadcrumb breadcrumbs topbar tabs pagination pager toc skip".split(),
-    "header": "header masthead site-header logo branding top banner hero-title tagline".split(),
-    "footer": "footer site-footer bottom colophon copyright legal links credits".split(),
-    "aside": "sidebar side aside widget related recommended trending popular also-read more-stories tags".split(),
-    "ad": "ad ads advert advertisement sponsor sponsored promo banner-ad adsense outbrain taboola".split(),
-    "notice": "cookie cookies consent notice alert gdpr popup modal overlay paywall banner-notice subscribe newsletter signup".split(),
-    "form": "form search login subscribe contact-form newsletter-form signup search-box".split(),
-    "comments": "comments comment comment-list replies discussion disqus responses reader-comments comment-body".split(),
-    "share": "share social sharing follow buttons author-bio byline meta post-meta".split(),
-}
-JUNK_TAGS = {"nav": ("nav", "div", "ul"), "header": ("header", "div"), "footer": ("footer", "div"), "aside": ("aside", "div", "section"), "ad": ("div", "aside", "ins"), "notice": ("div", "section", "dialog"), "form": ("form",), "comments": ("section", "div", "ol"), "share": ("div", "ul")}
-
-
 class PageWriter:
     """Writes pages whose blocks have known labels."""
 
@@ -308,13 +346,25 @@ class PageWriter:
         out[0] = out[0].capitalize()
         return " ".join(out)
 
+    def unknown(self) -> str:
+        """A name that no author has told us about."""
+        name = "".join(self.pick("abcdefghijklmnopqrstuvwxyz") for _ in range(self.r.randint(1, 9)))
+        return name + self.pick(("", "", "-", "__", "-")) + self.pick(("", "1", "x", "main"[: self.r.randint(0, 3)]))
+
+    def loose(self) -> str:
+        """A name that tells nothing: of the layout, or an unknown one."""
+        return self.pick(LAYOUT_NAMES) if self.r.random() < 0.55 else self.unknown()
+
+    def named(self, *names: str) -> str:
+        some = [n for n in names if n]
+        self.r.shuffle(some)
+        return f' {self.pick(("class", "class", "class", "id"))}="{" ".join(some)}"' if some else ""
+
     def attrs(self, names) -> str:
-        if self.r.random() < 0.15:
+        """A telling name, in a third of the cases with one that tells nothing beside it."""
+        if self.r.random() < 0.12:
             return ""
-        n = self.pick(names)
-        if self.r.random() < 0.2:
-            n += f" {self.pick(('box', 'wrap', 'inner', 'col', 'row', 'block', 'module'))}"
-        return f' {self.pick(("class", "class", "class", "id"))}="{n}"'
+        return self.named(self.pick(names), self.loose() if self.r.random() < 0.33 else "")
 
     def main_block(self) -> tuple[str, list[str]]:
         k, r = self.r.random(), self.r.random
@@ -337,7 +387,17 @@ class PageWriter:
             items = [self.words(2, 15) for _ in range(self.r.randint(2, 5))]
             tag = self.pick(("ul", "ol"))
             return f"<{tag}>" + "".join(f"<li>{i}</li>" for i in items) + f"</{tag}>", items
+        if k < 0.925:
+            terms = [(self.words(1, 3), self.words(3, 20)) for _ in range(self.r.randint(1, 4))]
+            end = self.r.random() < 0.8
+            return "<dl>" + "".join(f"<dt>{a}" + "</dt>" * end + f"<dd>{b}" + "</dd>" * end for a, b in terms) + "</dl>", [t for pair in terms for t in pair]
+        if k < 0.94:
+            head, t = self.words(1, 6), self.words(4, 40) + "."
+            return f"<details><summary>{head}</summary><p>{t}</p></details>", [head, t]
         if k < 0.95:
+            t = self.words(3, 15)
+            return f"<figure><img src=x><figcaption>{t}</figcaption></figure>", [t]
+        if k < 0.965:
             t = self.words(8, 40)
             return f"<blockquote>{t}</blockquote>", [t]
         if k < 0.98:
@@ -390,8 +450,10 @@ class PageWriter:
                 inner += f'<p><a href="/y">{add(self.words(1, 6))}</a></p>'
         names = JUNK_NAMES[kind]
         own = self.attrs(names)
-        if not own and tag in ("div", "section", "ul", "ol", "ins", "dialog", "form") and kind != "form":
-            own = f' class="{self.pick(names)}"'
+        if kind in ("nav", "header", "footer", "form") and r() < 0.15:  # told by what is in them
+            own = self.named(self.loose())
+        elif not own and tag in ("div", "section", "ul", "ol", "ins", "dialog", "form") and kind != "form":
+            own = self.named(self.pick(names))
         return f"<{tag}{own}>{inner}</{tag}>", texts
 
     def page(self) -> tuple[str, list[tuple[str, bool]]]:
@@ -403,25 +465,34 @@ class PageWriter:
 
         before = [k for k in ("header", "nav", "notice", "form", "ad", "nav", "share") if r() < (0.7 if k == "nav" else 0.35)]
         self.r.shuffle(before)
-        kind = self.pick(("article", "article", "article", "main", "main-article", "div", "section", "role", "wrap", "bare", "bare", "bare"))
+        kind = self.pick(("article", "article", "article", "main", "main-article", "div", "section", "role", "wrap", "bare", "bare", "bare", "loose", "loose", "loose", "loose"))
         shut = {"article": ("<article>", "</article>"), "main": ("<main>", "</main>"), "main-article": ("<main><article>", "</article></main>"), "section": (f'<section class="{self.pick(MAIN_NAMES)}">', "</section>"), "role": ('<div role="main">', "</div>")}
-        opened, closed = shut.get(kind, (f'<div {self.pick(("class", "id"))}="{self.pick(MAIN_NAMES)}">', "</div>"))
+        opened, closed = shut.get(kind, (f"<div{self.named(self.pick(MAIN_NAMES), self.loose() if r() < 0.33 else '')}>", "</div>"))
+        if kind == "loose":  # containers whose names tell nothing
+            depth = self.pick((1, 1, 2, 3))
+            opened, closed = "".join(f"<div{self.named(self.loose(), self.loose() if r() < 0.4 else '')}>" for _ in range(depth)), "</div>" * depth
         if kind == "bare":  # no element or name tells the article
             opened, closed = self.pick((("", ""), ("<div>", "</div>"), ("<div><div>", "</div></div>"), ("<table><tr><td>", "</td></tr></table>"), ("<center>", "</center>")))
             if r() < 0.4:
                 before = []
         if kind == "wrap":
             opened, closed = f'<div class="wrap">{opened}<article>', f"</article>{closed}</div>"
+        wide, beside = ("", ""), ("", "")  # columns around the article, around what follows, and around all
+        if r() < 0.3:
+            opened, closed = f"<div{self.named(self.loose())}>{opened}", f"{closed}</div>"
+            beside = (f"<div{self.named(self.loose())}>", "</div>") if r() < 0.5 else beside
+            wide = (f"<div{self.named(self.loose())}>", "</div>") if r() < 0.7 else wide
+        out.append(wide[0])
         for k in before:
             put(self.junk(k), False)
-        if r() < (0.1 if kind == "bare" else 0.3):
+        if r() < (0.1 if kind in ("bare", "loose") else 0.3):
             put(self.junk("aside"), False)
         out.append(opened)
         if r() < 0.85:
-            t = self.words(2, 12)
-            put((f"<div><h1>{t}</h1></div>" if r() < 0.1 else f"<h1>{t}</h1>", [t]), True)
+            t, h = self.words(2, 12), "h2" if kind in ("bare", "loose") and r() < 0.3 else "h1"
+            put((f"<div><{h}>{t}</{h}></div>" if r() < 0.1 else f"<{h}>{t}</{h}>", [t]), True)
         split = r() < 0.1  # paragraphs in a division of their own
-        out.append("<div>" * split)
+        out.append(f"<div{self.named(self.loose()) if r() < 0.5 else ''}>" * split)
         self.plain = r() < 0.12  # divisions instead of paragraphs
         if r() < 0.2:
             put(self.junk("share"), False)
@@ -433,10 +504,12 @@ class PageWriter:
             put(self.junk("share"), False)
         out.append("</div>" * split + closed)
         after = [k for k in ("comments", "aside", "ad", "share", "form", "notice", "nav", "footer") if r() < {"footer": 0.8, "comments": 0.35}.get(k, 0.25)]
-        if kind == "bare" and r() < 0.6:
+        if kind in ("bare", "loose") and r() < 0.6:
             after = []
+        out.append(beside[0])
         for k in after:
             put(self.junk(k), False)
+        out.append(beside[1] + wide[1])
         end = "</body></html>" if r() < 0.9 else ""
         return f'<!DOCTYPE html><html><head><title>x</title><style>p{{}}</style></head><body>{"".join(out)}{end}', labels
 
