@@ -1,4 +1,6 @@
-"""Exact substring dedup by longest-previous-factor arrays over the repeated parts of a corpus.
+"""Exact substring dedup by classes of equal strings in suffix order, over the repeated parts of a corpus.
+
+The classes stand in for longest-previous-factor arrays, of which removal only needs whether a factor reaches ``length``.
 
 A byte is removed if a string of ``length`` bytes that covers it also starts elsewhere: anywhere else
 (``keep="none"``), or anywhere earlier in order of (id, offset) (``keep="first"``). A suffix array of all
@@ -23,7 +25,7 @@ the input as it is, not over what is left.
 
 Edge cases: null and empty texts, and texts shorter than ``length``, lose nothing; matches never cross
 texts; overlapping repeats inside one text count; repeated ids and equal rows are texts like any
-other; with ``keep="first"`` equal rows of one id count as one text; an empty table gives no rows. A text and 60 times its bytes must fit
+other; with ``keep="first"`` equal rows of one id count as one text; ids that are no integers raise; an empty table gives no rows. A text and 60 times its bytes must fit
 a task's memory; everything else is cut into slices.
 """
 
