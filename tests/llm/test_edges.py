@@ -195,6 +195,22 @@ def test_urls(spark):
     assert n(url_filter.filter_urls(df.limit(0), queries.URL_RULES)) == 0
 
 
+def test_suffixes_tell_registered_domains(spark):
+    hosts = ["a.shop.co.uk", "shop.co.uk", "co.uk", "b.example.com", "x", "", "deep.a.b.city.kawasaki.jp"]
+    df = spark.createDataFrame([(h, 1, 0) for h in hosts], "host string, n long, bad long")
+    got = {r["host"]: (r["domain"], r["suffix"]) for r in url_filter.with_levels(df, ("uk", "co.uk", "com", "jp", "city.kawasaki.jp")).collect()}
+    assert got == {
+        "a.shop.co.uk": ("shop.co.uk", "co.uk"), "shop.co.uk": ("shop.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "b.example.com": ("example.com", "com"),
+        "x": ("x", "x"), "": ("", ""), "deep.a.b.city.kawasaki.jp": ("b.city.kawasaki.jp", "city.kawasaki.jp"),
+    }
+    plain = {r["host"]: (r["domain"], r["suffix"]) for r in url_filter.with_levels(df).collect()}
+    assert plain["a.shop.co.uk"] == ("co.uk", "uk") and plain[""] == ("", "")
+    long = "http://" + "a." * 3000 + "example.com/" + "p" * 100_000
+    rows = spark.createDataFrame([(1, long), (2, "http://bad.co.uk/en/1"), (3, "http://fine.co.uk/x")], "page_id long, url string")
+    out = {r["page_id"]: r for r in url_filter.filter_urls(rows, (("block", "uk/en/"), ("allow", "uk/en/")), suffixes=("co.uk",)).collect()}
+    assert len(out[1]["path"]) == 100_001 and out[2]["verdict"] == "block" and out[2]["rule"] == "uk/en/"  # of equal rules the blocking one
+
+
 def test_host_reputation_blocks_bad_hosts(spark):
     hosts = spark.createDataFrame([("bad.example.com", 40, 40), ("good.example.com", 40, 0), ("new.example.com", 0, 0), ("a.fine.org", 30, 1), ("b.fine.org", 30, 0)], "host string, n long, bad long")
     got = {r["host"]: r["blocked"] for r in url_filter.host_reputation(hosts).collect()}

@@ -2,8 +2,8 @@
 
 Rules decide the pages that they fit; the longest wins, and a block rule wins between equal ones.
 All other pages go by their host's reputation. Labelled page outcomes (here by default: the
-verdicts of the rules) are counted for each host, registered domain (last two labels) and suffix
-(last label). Each level's rate of bad pages is shrunk towards its parent's through a
+verdicts of the rules) are counted for each host, registered domain and suffix. A suffix is the longest of ``suffixes``
+that ends the host (such as ``co.uk``), or else its last label; the registered domain has one label more. Each level's rate of bad pages is shrunk towards its parent's through a
 beta-binomial prior whose strength comes from the spread of rates within parents (method of
 moments); a host is blocked if the lower posterior bound of its rate exceeds ``limit``.
 
@@ -11,7 +11,8 @@ Edge cases: a null url, or one without ``://``, has an empty host and path and n
 judged by the prior of its (empty) host like any other; null or repeated page ids are kept; without labelled
 pages every page without a rule is allowed; an empty table gives no rows. Only the id and url columns are read.
 
-Scale: hosts are summed map-side before the shuffle; pages join the host table on their host in a
+Scale: hosts are summed map-side before the shuffle and the counts are written once, as every level reads them; ``suffixes`` is a
+parameter and bounds what is broadcast; pages join the host table on their host in a
 plain equi-join, whose hot hosts adaptive execution splits. Three one-row aggregates reach the driver.
 """
 
@@ -22,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import stash
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -63,10 +66,24 @@ def _spread(level: DataFrame, mean: str) -> float:
     return 1 / rho - 1
 
 
-def host_reputation(hosts: DataFrame, z: float = 1.645, limit: float = 0.5) -> DataFrame:
+def with_levels(hosts: DataFrame, suffixes: Sequence[str] = ()) -> DataFrame:
+    """``hosts`` with domain and suffix."""
+    labels = F.split("host", r"\.")
+    if not suffixes:
+        return hosts.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.element_at(labels, -1)})
+    # all endings of a host of whole labels, of which the longest known one counts
+    longest = max(s.count(".") + 1 for s in suffixes)
+    known = hosts.sparkSession.createDataFrame([(s.lower(),) for s in set(suffixes)], "_ending string")
+    endings = hosts.select("host", F.explode(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(longest)))).alias("_n"))
+    endings = endings.withColumn("_ending", F.expr("substring_index(host, '.', -_n)")).join(F.broadcast(known), "_ending", "left_semi")
+    found = endings.groupBy("host").agg(F.max("_n").alias("_n"))
+    n = F.coalesce(F.col("_n"), F.lit(1))
+    return hosts.join(found, "host", "left").withColumn("_n", n).withColumns({"domain": F.expr("substring_index(host, '.', -(_n + 1))"), "suffix": F.expr("substring_index(host, '.', -_n)")}).drop("_n")
+
+
+def host_reputation(hosts: DataFrame, z: float = 1.645, limit: float = 0.5, suffixes: Sequence[str] = ()) -> DataFrame:
     """(host, n, bad) of labelled pages -> host, rate, bound and blocked, by shrinkage through three levels."""
-    parts = F.split("host", r"\.")
-    hosts = hosts.select("host", "n", "bad", F.substring_index("host", ".", -2).alias("domain"), F.element_at(parts, -1).alias("suffix"))
+    hosts = with_levels(hosts.select("host", "n", "bad"), suffixes)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     whole = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
@@ -86,7 +103,7 @@ def host_reputation(hosts: DataFrame, z: float = 1.645, limit: float = 0.5) -> D
     return hosts.select("host", "n", "bad", "rate", (F.col("rate") - F.lit(z) * sd).alias("bound")).withColumn("blocked", F.col("bound") > F.lit(limit))
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], outcome: Column | None = None, z: float = 1.645, limit: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], outcome: Column | None = None, z: float = 1.645, limit: float = 0.5, id_col: str = "page_id", url_col: str = "url", suffixes: Sequence[str] = ()) -> DataFrame:
     """page_id, host, path, rule, verdict and the host's bound. ``outcome`` (true: bad, null: not labelled) replaces the rules' verdicts as labels."""
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), *([outcome.alias("_bad")] if outcome is not None else []))
@@ -94,8 +111,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], outcome: Col
     rows = rows.withColumns({"rule": rule, "_action": action})
     if outcome is None:
         rows = rows.withColumn("_bad", F.col("_action") == "block")
-    counts = rows.groupBy("host").agg(F.count("_bad").alias("n"), F.count_if("_bad").alias("bad"))
-    judged = host_reputation(counts, z, limit).select(F.col("host").alias("_host"), F.round("bound", 6).alias("bound"), "blocked")
+    counts = stash(rows.groupBy("host").agg(F.count("_bad").alias("n"), F.count_if("_bad").alias("bad")))
+    judged = host_reputation(counts, z, limit, suffixes).select(F.col("host").alias("_host"), F.round("bound", 6).alias("bound"), "blocked")
     rows = rows.join(judged, F.col("host") == F.col("_host"), "left")
     verdict = F.coalesce(F.col("_action"), F.when(F.col("blocked"), "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bound")
