@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.settle import settle
 from . import forecasting, marketing, risk, semantic
 
 KPIS = ("spend", "signups", "paid_signups", "revenue")
@@ -95,7 +96,7 @@ def daily_revenue(mart: DataFrame) -> DataFrame:
 
 def build_weekly_review(mart: DataFrame, signups: DataFrame, transactions: DataFrame, horizon: int = 14) -> GrowthReview:
     """KPIs against the week before, channels, lifetime value, forecast and anomalies as of the mart's last date."""
-    mart = mart.cache()
+    mart = settle(mart)
     as_of = mart.agg(F.max("date")).first()[0]
     if as_of is None:
         raise ValueError("the mart is empty")
@@ -109,7 +110,7 @@ def build_weekly_review(mart: DataFrame, signups: DataFrame, transactions: DataF
     reg.add("channels", table.toPandas(), "table", sql)
     ltv = marketing.ltv_frames(signups, transactions, as_of)
     reg.add("ltv", ltv.by_channel.toPandas(), "table", "geometric lifetimes by plan over marts.fct_transactions")
-    series = daily_revenue(mart)
+    series = settle(daily_revenue(mart))
     if series.count() >= 3 * forecasting.SEASON:
         ahead = forecasting.forecast(series.drop("date"), "holt_winters", horizon).agg(F.sum("forecast")).first()[0]
         reg.add("forecast_revenue", ahead, "$", f"Holt-Winters over daily revenue of {semantic.MART}, {horizon} days")
@@ -118,6 +119,19 @@ def build_weekly_review(mart: DataFrame, signups: DataFrame, transactions: DataF
     return GrowthReview(as_of, _render(as_of, start, reg), dict(reg.figures))
 
 
+def figure_values(review: GrowthReview) -> list[tuple[str, str, float]]:
+    """(slug, item, value) of every number in the review; an item of a table is its row's name, with the column's where there are several."""
+    out = []
+    for slug, figure in review.figures.items():
+        if not isinstance(figure.value, pd.DataFrame):
+            out.append((slug, "", float(figure.value)))
+            continue
+        name, *columns = figure.value.columns
+        for row in figure.value.to_dict("records"):
+            out += [(slug, f"{row[name]}" if len(columns) == 1 else f"{row[name]}.{c}", float(row[c])) for c in columns if pd.notna(row[c])]
+    return out
+
+
 def _render(as_of: dt.date, start: dt.date, reg: FigureRegistry) -> str:
     lines = [f"# Weekly review, {start} to {as_of}", ""]
     lines += [f"- {k}: {reg[f'kpi_{k}'].text()} ({reg[f'kpi_{k}_change'].text()} on the week before)" for k in KPIS]
