@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import churn, tracking
-from tidewater.sources import files, io
+from tidewater.sources import files, io, settle
 
 
 @pytest.fixture(params=["file", "viewfs"])
@@ -69,6 +69,27 @@ def test_readers_of_an_old_version_and_vacuum(spark, store):
     assert len(io.vacuum(spark, store, keep=1)) == 1 and io.scan(spark, store, "marts", "a").count() == 20
 
 
+def test_sweep_deletes_old_intermediate_tables_only(spark):
+    kept = rows(spark, 3)
+    table = settle.settle(kept)
+    name = table.inputFiles()[0].split("/")[-2]
+    assert name not in settle.sweep(spark, hours=1) and table.count() == 3
+    fs, at = files._at(spark, f"{settle.shared(spark)}/{name}")
+    fs.setTimes(at, 1000, -1)
+    other = f"{settle.shared(spark)}/settled-of-a-user"
+    kept.write.mode("overwrite").parquet(other)
+    fs.setTimes(files._at(spark, other)[1], 1000, -1)
+    assert settle.sweep(spark, hours=1) == [name] and not files.exists(spark, f"{settle.shared(spark)}/{name}") and files.exists(spark, other)
+    files.delete(spark, other)
+
+
+def test_parameters_on_any_file_system(spark, store):
+    io.write_text(f"{store}/mmm.json", json.dumps({"channels": {"a": {"beta": 1, "decay": 0.5, "half_sat": 2, "mean_spend": 3}}}))
+    assert io.read_mmm(f"{store}/mmm.json") == {"a": {"beta": 1.0, "decay": 0.5, "half_sat": 2.0, "mean_spend": 3.0}}
+    with pytest.raises(ValueError):
+        io.read_mmm(f"{store}/missing.json")
+
+
 def test_of_two_builders_one_publishes(spark, store):
     version, _ = io.manifest(spark, store)
     io.publish(spark, store, {"raw.x": "somewhere"}, version)

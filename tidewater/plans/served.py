@@ -3,35 +3,37 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import semantic, tools
 from ..sources import adapters as a
-from ..sources import io
+from ..sources import files, io
 from ..sources.adapters import Tables, with_views
+from ..sources.settle import shared_folder
 from . import forecast, marketing, warehouse
 
 METRICS = ("spend", "signups", "cac", "ctr", "revenue")
 WHERE = "channel <> 'building' AND date >= DATE '1996-01-01'"
 
 
+_built: dict[tuple[str, str], str] = {}
+
+
 def built(s, d) -> str:
-    """A warehouse in the folder that driver and executors share."""
-    t = Tables(s, d)
-    folder = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder}/warehouse-{uuid.uuid4().hex}"
-    io.build_all(s, {"ad_spend_daily": a.ad_spend_daily(t), "signups": a.signups(t), "transactions": a.transactions(t)}, path)
-    return path
+    """A warehouse of the folder's tables, made once for each application: queries share it, as users of a warehouse do."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _built or not io.manifest(s, _built[key])[0]:
+        t = Tables(s, d)
+        _built[key] = shared_folder(s, "warehouse")
+        io.build_all(s, {"ad_spend_daily": a.ad_spend_daily(t), "signups": a.signups(t), "transactions": a.transactions(t)}, _built[key])
+    return _built[key]
 
 
 def landed_counts(s, d):
     t = Tables(s, d)
-    folder = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
-    got = io.land_tables({"signups": a.signups(t), "transactions": a.transactions(t)}, f"{folder}/landed-{uuid.uuid4().hex}")
+    got = io.land_tables({"signups": a.signups(t), "transactions": a.transactions(t)}, shared_folder(s, "landed"))
     return s.createDataFrame(sorted(got.items()), "name string, n long")
 
 
@@ -75,10 +77,9 @@ def tool_budget(s, d):
     """Plans over a written file of response parameters, as the exporter writes it."""
     spend = warehouse.mart(s, d).where(F.col("channel").isin(*marketing.PAID)).groupBy("channel").agg(F.avg("spend").alias("x")).orderBy("channel").collect()
     params = {r["channel"]: {"beta": 1000.0 * (k + 1), "decay": 0.1 * (k + 1), "half_sat": 100.0, "mean_spend": r["x"]} for k, r in enumerate(spend)}
-    with tempfile.TemporaryDirectory() as folder:  # a small file of the driver's own
-        path = os.path.join(folder, "params.json")
-        io.write_text(path, json.dumps({"channels": params}))
-        got = tools.BudgetPlannerTool(path).run(2000.0)
+    path = f"{shared_folder(s, 'params')}/mmm.json"
+    files.write_text(s, path, json.dumps({"channels": params}))
+    got = tools.BudgetPlannerTool(path).run(2000.0)
     return s.createDataFrame(sorted((k, float(v)) for k, v in got.data["plan"].items()), "channel string, daily_spend double")
 
 

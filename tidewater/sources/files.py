@@ -57,6 +57,12 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
 
 
+def folders(spark: SparkSession, path: str) -> list[tuple[str, float]]:
+    """(name, seconds since 1970 of its last change) of the folders in a folder."""
+    fs, at = _at(spark, path)
+    return sorted((s.getPath().getName(), s.getModificationTime() / 1000) for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, at = _at(spark, path)
     fs.delete(at, True)

@@ -191,16 +191,14 @@ def export_mmm(fit, mean_spend, path: str) -> dict:
         "r2": round(fit.r2, 4),
         "channels": {c: {"beta": round(float(fit.beta[k]), 2), "decay": round(float(fit.decay[k]), 3), "half_sat": round(float(fit.half_sat[k]), 2), "mean_spend": round(float(mean_spend[k]), 2)} for k, c in enumerate(fit.channels)},
     }
-    with open(path, "w") as f:
-        json.dump(out, f, indent=1)
+    write_text(path, json.dumps(out, indent=1))
     return out
 
 
 def read_mmm(path: str) -> dict[str, dict[str, float]]:
     """The exported channels; anything malformed is a ValueError."""
     try:
-        with open(path) as f:
-            channels = json.load(f)["channels"]
+        channels = json.loads(read_text(path))["channels"]
         out = {str(c): {k: float(v[k]) for k in ("beta", "decay", "half_sat", "mean_spend")} for c, v in channels.items()}
     except (OSError, KeyError, TypeError, AttributeError, json.JSONDecodeError) as e:
         raise ValueError(f"malformed response parameters: {e}") from e
@@ -210,8 +208,19 @@ def read_mmm(path: str) -> dict[str, dict[str, float]]:
 
 
 def write_text(path: str, text: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+    """To a file of any scheme, by the session's file systems; a plain path is the driver's own."""
+    if "://" in path:
+        files.write_text(SparkSession.active(), path, text)
+    else:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+
+
+def read_text(path: str) -> str:
+    if "://" in path:
+        return files.read_text(SparkSession.active(), path)
+    with open(path, encoding="utf-8") as f:
+        return f.read()
 
 
 @dataclass(frozen=True)
