@@ -8,6 +8,7 @@ bytes hash alike in every task, size and run.
 from __future__ import annotations
 
 import contextlib
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -53,7 +54,20 @@ def stash(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def free(*frames: DataFrame) -> None:
+    """Delete stashed tables that no later step reads, and let Spark drop the shuffles that only they had."""
+    for df in frames:
+        jvm = df.sparkSession.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(df._stashed)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()  # plans that only this process still holds
+    if frames:
+        jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
