@@ -48,6 +48,20 @@ def test_chunks_resynchronise_where_they_can(spark):
     assert [r["parts"] for r in got if r["doc_id"] == 2] == [1]  # one pre-token, whole
 
 
+def test_chunks_that_agree_out_of_step_are_not_cut(spark):
+    """Inside a bracket longer than several chunks all chunks read single letters, and agree, but the text is one pre-token there."""
+    pattern = r"<[^>]*|\s?\w|[^\w<]"
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    rows = [(1, "the text <" + "there is a bracket " * 30 + "> the end of it" * 9), (2, "no bracket in here " * 40), (3, "<" + "a" * 20 + ">" + "the " * 100)]
+    got = byte_bpe.token_digest(spark.createDataFrame(rows, "doc_id long, text string"), P.path("byte_bpe_50k.tiktoken"), pattern, chunk_chars=64, overlap=16).collect()
+    for r in got:
+        ids = library.encode_ordinary(dict(rows)[r["doc_id"]])
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(dict(rows)[r["doc_id"]].encode()).hexdigest()
+
+
 def test_long_white_space_is_encoded(library):
     coder = byte_bpe.Coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     text = "a" + " " * 2_000_000 + "b"

@@ -2,12 +2,12 @@
 
 A text is cut into chunks of ``chunk_chars`` code points that also hold the next ``overlap`` ones. Each chunk is
 pre-tokenised from its own start, in parallel, and keeps the pre-token starts in its first ``overlap`` code points and in
-its tail (the part that it shares with the next chunk). What the pattern matches from a position on depends on the text
-from there on, so where the tail of one chunk and the head of the next have a start in common both agree ever after: the
+its tail (the part that it shares with the next chunk). A pattern may look at most ``overlap`` code points past the end of a match (the usual ones
+look at one), so what it matches from a position on depends on the text from there on, and where the tail of one chunk and the head of the next have a start in common both agree ever after: the
 first such start is where the text is cut. Pieces between cuts are encoded apart and their ids follow each other.
 A cut is only made after a code point that isn't white space, as white space matches by what follows it. Chunks
 without a common start (one pre-token, or white space, longer than the overlap) are joined and encoded together, since BPE
-merges within a whole pre-token. Texts of one chunk skip the cutting. Decoding looks up each id's bytes and joins them.
+merges within a whole pre-token; where such a joined piece is then not found to end between two pre-tokens, its text is encoded whole. Texts of one chunk skip the cutting. Decoding looks up each id's bytes and joins them.
 
 Scale: a task holds about ``SLICE`` code points of text and their ids, or a run of joined chunks; only numbers of the long
 texts' chunks are windowed by text. Chunks are dealt by (row, chunk) before they are encoded.
@@ -129,6 +129,21 @@ def _cuts(chunks: DataFrame, ranks_path: str, pattern: str, chunk: int, overlap:
     return got.select("row", "k", "sync", F.sum(F.col("sync").isNotNull().cast("long")).over(order).alias("piece"), F.lead("sync").over(order).alias("next_sync"))
 
 
+def _unsound(joined: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(row) of the texts among (row, text, after) in which no pre-token begins at the end of ``text``.
+
+    A chunk that never met the one before may have been read out of step, and then so may its agreement with the next one be."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(ranks_path, pattern)
+        for batch in batches:
+            texts = zip(column(batch, "row").to_pylist(), column(batch, "text").to_pylist(), column(batch, "after").to_pylist())
+            bad = [row for row, t, more in texts if not any(m.start() == len(t) for m in coder.pattern.finditer(t + more))]
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.int64())], names=["row"])
+
+    return joined.select("row", "text", "after").mapInArrow(run, "row long")
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1 << 16, overlap: int = 1 << 10) -> DataFrame:
     """(row, doc_id, seq, parts, token_ids): ids of each text in pieces, in the order of ``seq``; ``parts`` is how many it has.
 
@@ -144,13 +159,19 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     # A chunk's share runs from its cut, or its start, to the next chunk's cut, or that chunk's start.
     begin = F.coalesce(F.col("sync"), F.col("base")) - F.col("base")
     end = F.coalesce(F.col("next_sync"), F.col("base") + chunk_chars) - F.col("base")
-    text = text.select("row", "doc_id", "piece", "k", F.substring("text", (begin + 1).cast("int"), (end - begin).cast("int")).alias("text"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "")
-    text = text.groupBy("row", "piece").agg(F.first("doc_id").alias("doc_id"), joined.alias("text"))
-    parts = cuts.groupBy("row").agg(F.max("piece").alias("parts"))
-    long = _encoded(text.select("row", "doc_id", F.col("piece").alias("seq"), "text"), ranks_path, pattern).join(parts, "row")
+    own, after = F.substring("text", (begin + 1).cast("int"), (end - begin).cast("int")), F.substring("text", (end + 1).cast("int"), F.lit(overlap))
+    text = text.select("row", "doc_id", "piece", "k", own.alias("text"), F.when(F.col("next_sync").isNotNull(), after).alias("after"))
+    joined = lambda place: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, "text"))), lambda x: x["text"]), "")
+    pieces = stash(text.groupBy("row", "piece").agg(F.first("doc_id").alias("doc_id"), joined("k").alias("text"), F.max_by("after", "k").alias("after"), F.count(F.lit(1)).alias("n")))
+    # texts whose joined chunks end where no pre-token does are one piece
+    whole = _unsound(pieces.where("n > 1 AND after IS NOT NULL"), ranks_path, pattern).distinct().withColumn("_whole", F.lit(True))
+    pieces = pieces.join(whole, "row", "left")
+    kept = pieces.where("_whole IS NULL").select("row", "doc_id", F.col("piece").alias("seq"), "text")
+    long = kept.unionByName(pieces.where("_whole").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.lit(1).cast("long").alias("seq"), joined("piece").alias("text")))
+    long = stash(_encoded(long, ranks_path, pattern))
+    long = long.join(long.groupBy("row").agg(F.max("seq").alias("parts")), "row")
     names = ["row", "doc_id", "seq", "parts", "token_ids"]
-    return short.select(names).unionByName(stash(long.select(names)))
+    return short.select(names).unionByName(long.select(names))
 
 
 def decode(pieces: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_ids") -> DataFrame:
