@@ -104,3 +104,38 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert [x["doc_id"] for x in got] == sorted(x[0] for x in want)
     assert [x["start"] for x in got] == np.cumsum([0, *[x["n_tokens"] for x in got]])[:-1].tolist()
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "mixing", "token_ids"]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def folder_of(spark, folder, rows, labels, items):
+    spark.createDataFrame(rows, SCHEMA).repartition(2).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null ids, texts, sources and labels, empty and equal texts: one text of each kind stays, and what stays is mixed whole."""
+    r = np.random.default_rng(1)
+    a, b, c, d = (" ".join(words(90, r)) for _ in range(4))
+    rows = [(1, a, "en", "s", len(a)), (2, a, "en", "s", len(a)), (None, b, None, None, None), (None, b, "de", "t", 5), (None, c, "en", "s", 1), (7, None, "en", "s", None), (8, "", "en", "s", 0), (9, " \n\t", "en", None, 3), (9, d, "en", "s", 4), (10, "one", "en", "s", 3)]
+    folder = folder_of(spark, tmp_path, rows, [(1, None, None), (None, 1, 1), (77, 0, 0)], [(None, None), (1, "")])
+    kept = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        kept = stage(spark, kept, folder)
+        assert kept.columns == [x.split()[0] for x in SCHEMA.split(", ")], name
+    texts = sorted(x["text"] or "" for x in kept.collect())
+    assert [t for t in texts if t.strip()] == sorted([a, b, c, d, "one"]) and len(texts) <= 7  # one empty text, one of white space
+    got = corpus_pipeline.run(spark, folder).collect()
+    enc = token_files.Encoder(queries.tokenizer_path())
+    sizes = {len(enc.tok.encode(t, add_special_tokens=False).ids) + 1 for t in (a, b, c, d, "one")}
+    assert {x["n_tokens"] for x in got} & sizes and sum(x["doc_id"] is None for x in got) >= 2
+    assert sorted(x["start"] for x in got) == np.cumsum([0, *[x["n_tokens"] for x in sorted(got, key=lambda x: x["start"])]])[:-1].tolist()
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    folder = folder_of(spark, tmp_path, [], [], [])
+    got = corpus_pipeline.run(spark, folder)
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() == 0

@@ -21,7 +21,7 @@ most ``max_bytes`` in all, else an error: such a benchmark is to be decontaminat
 
 Edge cases: null and empty texts match nothing; null and empty items are ignored; items shorter than the
 window, documents shorter than an item, repeated ids, equal rows and repeated items are all
-judged alike; null ids are kept; an empty table or benchmark gives no rows.
+judged alike; null ids are kept; ids of documents that are no integers raise; an empty table or benchmark gives no rows.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ shingle sets.
 
 Edge cases: null texts are empty; equal texts are always one class, so all empty texts are one; a text with fewer
 than five words has one shingle; null and repeated ids are kept, and each row gets its class; a
-class is named by its smallest id that is not null; an empty table gives no rows.
+class is named by its smallest id that is not null; ids that are no integers raise; an empty table gives no rows.
 """
 
 from __future__ import annotations

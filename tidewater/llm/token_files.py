@@ -9,7 +9,7 @@ reader of metadata or of a few ids touches neither other columns nor other pages
 Edge cases: a null text is empty and yields the end id alone; null ids sort first; repeated ids
 and equal rows are kept and ordered by (id, hash of the text), so equal rows are interchangeable;
 an empty table writes files without rows; metadata columns that would clash with the columns
-above are refused.
+above are refused; ids that are no integers raise.
 """
 
 from __future__ import annotations

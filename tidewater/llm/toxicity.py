@@ -3,7 +3,7 @@
 P(grade <= k) = sigmoid(threshold_k - w.x) with one weight vector for all ordered thresholds; x is
 the presence of each chosen word. Words are runs of letters and digits, ASCII-lower-cased, so case
 and attached punctuation do not hide them. The features are the words whose document rates differ
-most between toxic and other labelled documents. The result is the expected grade, and a document
+most between toxic and other labelled documents, by a z value of ``min_z`` at least; words of under 3 labelled documents are left out. The result is the expected grade, and a document
 is toxic if a grade of one or more is at least as likely as not.
 
 The fit uses about ``max_rows`` labelled documents at most, chosen by the hash of their id; word counts over them are
