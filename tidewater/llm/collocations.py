@@ -33,7 +33,7 @@ from ._pieces import column
 from ._shared import U64, gram_hashes, mix, prefix_hash, range_hash, slices, stash
 
 #: Bytes of text in a shard, and the words of one automaton.
-SHARD_BYTES, SHARD_WORDS = 3_000_000, 1_000_000
+SHARD_BYTES, SHARD_WORDS = 2_000_000, 1_000_000
 #: Hashes that a task gathers before it hands its sketch on.
 GATHER = 12_000_000
 BLOCK = 1 << 18
@@ -74,14 +74,15 @@ def _sketch(texts: DataFrame, cells: int, max_words: int, min_count: int) -> np.
         press, held, size = zstandard.ZstdCompressor(level=1), [], 0
 
         def blocks() -> Iterator[pa.RecordBatch]:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            block, n = found // BLOCK, np.minimum(n, least).astype(np.uint8)
-            ends = np.flatnonzero(np.append(block[1:] != block[:-1], True)) + 1
-            for a, b in zip(np.concatenate([[0], ends[:-1]]), ends):
-                inside = found[a:b] % BLOCK
-                gaps = np.diff(inside, prepend=0)
-                parts = [press.compress(x.astype(np.uint8).tobytes()) for x in (gaps & 255, gaps >> 8 & 255, gaps >> 16, n[a:b])]
-                yield pa.RecordBatch.from_arrays([pa.array([int(block[a])], pa.int64()), pa.array([parts], pa.list_(pa.binary()))], names=["block", "counts"])
+            every = np.concatenate(held)
+            held.clear()
+            every.sort()
+            edges = np.searchsorted(every, np.arange(cells // BLOCK + 1, dtype=np.uint64) * U64(BLOCK))
+            for block in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+                inside, n = np.unique(every[edges[block] : edges[block + 1]] % BLOCK, return_counts=True)
+                gaps = np.diff(inside.astype(np.int64), prepend=0)
+                parts = [press.compress(x.astype(np.uint8).tobytes()) for x in (gaps & 255, gaps >> 8 & 255, gaps >> 16, np.minimum(n, least))]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([parts], pa.list_(pa.binary()))], names=["block", "counts"])
 
         for rows, buf, off in slices(batches, "text", SHARD_BYTES):
             _, _, _, piece, _, h = _words(rows, buf, off)
@@ -90,7 +91,7 @@ def _sketch(texts: DataFrame, cells: int, max_words: int, min_count: int) -> np.
                 size += len(held[-1])
             if size >= GATHER:
                 yield from blocks()
-                held, size = [], 0
+                size = 0
         if size:
             yield from blocks()
 
