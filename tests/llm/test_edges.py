@@ -305,6 +305,18 @@ def test_decision_list_held_out():
     assert (hit == bad[2000:]).mean() > 0.95
 
 
+def test_ties_of_thresholds():
+    """Equal values and equally good conditions: reruns agree, and rows at a threshold are covered alike by both forms of a rule."""
+    x = {"a": np.repeat([0.0, 1.0], 300), "b": np.repeat([0.0, 1.0], 300), "same": np.zeros(600)}
+    bad = np.repeat([False, True], 300)
+    mix = np.random.default_rng(0).permutation(600)
+    x, bad = {k: v[mix] for k, v in x.items()}, bad[mix]
+    rules = quality_rules.learn_rules(x, bad)
+    assert rules == quality_rules.learn_rules(x, bad) and len(rules) == 1 and len(rules[0]) == 1
+    c = rules[0][0]
+    assert c.name == "a" and c.threshold in (0.0, 1.0) and (c.holds(x) == bad).all()  # the first of equal columns
+
+
 def test_decontamination(spark, odd, empty):
     item = words(120, 1).split()[20:60]
     paraphrase = [w if k % 4 else "other" for k, w in enumerate(item[:-8])] + item[-8:]
