@@ -22,13 +22,17 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_bytes(spark: SparkSession, path: str) -> bytes:
-    """The file's bytes; FileNotFoundError where there is none."""
+    """The file's bytes; FileNotFoundError where there is none, ValueError where the file system's own checksum doesn't fit them."""
     fs, at = _at(spark, path)
     if not fs.exists(at):
         raise FileNotFoundError(path)
     stream = fs.open(at)
     try:
         return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    except Py4JJavaError as e:
+        if "ChecksumException" in str(e.java_exception):
+            raise ValueError(f"{path} was changed since it was written") from e
+        raise
     finally:
         stream.close()
 
