@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import shared_dir, slices, small_batches
+from ._shared import U64, prefix_hash, range_hash, shared_dir, slices, small_batches
 
 OWN = ("doc_id", "part", "local_start", "n_tokens", "token_ids")
-#: Words whose ids a worker keeps in each of two generations; a full one replaces the older.
-MEMO_WORDS = 300_000
+#: Words, and ids of words, that a worker keeps; when there are more, only those of the last texts stay.
+MEMO_WORDS, MEMO_IDS = 1_000_000, 8_000_000
 _encoders: dict = {}
 
 
@@ -43,6 +43,8 @@ class Encoder:
     each distinct word (less its punctuation) goes through the library once, and its ids are reused. Runs of
     white space are cut only before their last space; any other tokenizer, or a text holding an
     added token, is encoded whole.
+
+    Words are told apart by 64-bit hashes. The memory is arrays: sorted hashes, and the begin and number of each word's ids in one long list.
     """
 
     def __init__(self, path: str):
@@ -59,8 +61,7 @@ class Encoder:
         self.cut = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout")
         self.added = [x["content"] for x in spec.get("added_tokens") or []]
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self._forget()
         line = self.tok.encode("\n", add_special_tokens=False).ids
         self.cut = self.cut and len(line) == 1
         self.line, self.line_id = line[0], np.array(line[:1], self.dtype).tobytes()
@@ -84,70 +85,112 @@ class Encoder:
             out += [raw[b:e] for b, e in zip(begins.tolist(), ends.tolist())]
         return out
 
-    def _heads(self, heads: dict[str, bytes]) -> None:
-        """Fill in the ids of words free of trailing punctuation, from memory or from the library."""
-        young, old, new = self.young, self.old, []
-        for w in heads:
-            x = young.get(w)
-            if x is None:
-                x = old.get(w)
-                if x is None:
-                    new.append(w)
-                    continue
-                young[w] = x
-            heads[w] = x
-        after, others = [w for w in new if w[0] == "\n"], [w for w in new if w[0] != "\n"]
-        for some, ids in ((after, [self.line_id + x for x in self._bulk([w[1:] for w in after])]), (others, self._bulk([" " + w for w in others]))):
-            for w, x in zip(some, ids):
-                heads[w] = x
-                if len(w) < 100:
-                    young[w] = x
-        if len(young) > MEMO_WORDS:
-            self.old, self.young = young, {}
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
+    def _forget(self) -> None:
+        self.keys, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
+
+    def _store(self, ids: np.ndarray) -> int:
+        """Append to the long list; where they begin."""
+        at = self.used
+        if at + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:at], np.zeros(max(len(ids), at // 2), self.dtype)])
+        self.ids[at : at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
+    def _learn(self, words: list[str]) -> list[bytes]:
         """The ids of each word: one after a newline begins with it, any other follows a space."""
         heads: dict[str, bytes] = {}
         joined, tails = [], {}
-        for w in words:
+        for k, w in enumerate(words):
             head = w.rstrip(string.punctuation)
             if len(head) != len(w) and head and (head[1:] if head[0] == "\n" else head).isalpha():
                 tail = w[len(head) :]
-                joined.append((w, head, tail))
+                joined.append((k, head, tail))
                 heads[head] = tails[tail] = b""
             else:
                 heads[w] = b""
-        self._heads(heads)
+        after, others = [w for w in heads if w[0] == "\n"], [w for w in heads if w[0] != "\n"]
+        heads.update(zip(after, [self.line_id + x for x in self._bulk([w[1:] for w in after])]))
+        heads.update(zip(others, self._bulk([" " + w for w in others])))
         for t in tails:
             tails[t] = self._raw(t)
-        for w, head, tail in joined:
-            heads[w] = heads[head] + tails[tail]
-        return heads
+        out = [heads.get(w, b"") for w in words]
+        for k, head, tail in joined:
+            out[k] = heads[head] + tails[tail]
+        return out
+
+    def _remember(self, keys: np.ndarray, words: list[str]) -> None:
+        """Take up new words, their hashes ascending. Those that white space begins or ends, empty ones and added tokens count -1."""
+        odd = np.array([not self.cut or w in ("", "\n") or (w[1] if w[0] == "\n" else w[0]).isspace() or w[-1].isspace() or any(a in w for a in self.added) for w in words])
+        raw = self._learn([w for w, o in zip(words, odd.tolist()) if not o])
+        size, count = self.dtype.itemsize, np.full(len(keys), -1, np.int64)
+        count[~odd] = np.array([len(x) // size for x in raw], np.int64)
+        n = np.maximum(count, 0)
+        begin = self._store(np.frombuffer(b"".join(raw), self.dtype)) + np.cumsum(n) - n
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.begin, self.count = np.insert(self.keys, at, keys), np.insert(self.begin, at, begin), np.insert(self.count, at, count)
 
     def _pieces(self, text: str) -> bytes:
         """A text with runs of white space: cut only at a space before a non-space."""
         return b"".join([self._raw(x if k == 0 else " " + x) for k, x in enumerate(self.gap.split(text))])
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        """The ids of each text as bytes, with the end id."""
-        cut: list = []
-        for t in texts:
-            whole = not t or not self.cut or any(a in t for a in self.added)
-            cut.append(None if whole else ("\n" + t).replace("\n", " \n")[1:].split(" "))
-        words = set().union(*[c for c in cut if c])
-        odd = {w for w in words if not w or w[0].isspace() or w[-1].isspace()}
-        odd = {w for w in odd if w in ("", "\n") or w[0] != "\n" or w[1].isspace() or w[-1].isspace()}
-        many = {k for k, c in enumerate(cut) if c and not odd.isdisjoint(c)} if odd else set()
-        get, skip = self._learn(words - odd).__getitem__, len(self.line_id)
-        out = []
-        for k, (t, c) in enumerate(zip(texts, cut)):
-            if c is None:
-                out.append(self._raw(t) + end)
-            elif k in many:
-                out.append(self._pieces(t) + end)
-            else:
-                out.append(b"".join(map(get, c))[skip:] + end)
-        return out
+        """The ids of each text as bytes, with ``end``, the bytes of one id or none."""
+        raw = [t.encode() for t in texts]
+        off = np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)])
+        ids, n = self.encode_all(np.frombuffer(b"".join(raw), np.uint8), off, *np.frombuffer(end, self.dtype).tolist())
+        cut = np.cumsum(n)
+        return [ids[b - k : b].tobytes() for b, k in zip(cut.tolist(), n.tolist())]
+
+    def encode_all(self, buf: np.ndarray, off: np.ndarray, *end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of each text's), each with the end id if there is one."""
+        raw, n = buf.tobytes(), len(off) - 1
+        if not n:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        text = lambda k: raw[off[k] : off[k + 1]].decode()
+        marks = [a.encode() for a in self.added if a.encode() in raw]
+        whole = np.array([not self.cut or off[k] == off[k + 1] or any(a in raw[off[k] : off[k + 1]] for a in marks) for k in range(n)], bool) if marks or not self.cut else np.diff(off) == 0
+        # a word begins after a space, after a newline, which it keeps, and with the text, as if after a newline
+        mark = np.flatnonzero((buf == 32) | (buf == 10))
+        begin = np.concatenate([off[:-1], mark + 1])
+        line = np.concatenate([np.ones(n, bool), buf[mark] == 10])
+        doc = np.concatenate([np.arange(n), np.searchsorted(off, mark, "right") - 1])
+        order = np.lexsort((begin, doc))
+        begin, line, doc = begin[order], line[order], doc[order]
+        first = np.searchsorted(doc, np.arange(n))
+        stop = np.append(begin[1:] - 1, len(buf))
+        stop[np.append(first[1:], len(doc)) - 1] = off[1:]
+        key = range_hash(prefix_hash(buf), begin, stop) ^ (line.astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+        own, at, which = np.unique(key, return_index=True, return_inverse=True)
+        if len(self.keys) > MEMO_WORDS or self.used > MEMO_IDS:
+            self._forget()
+        place = np.minimum(np.searchsorted(self.keys, own), max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[place] != own) if len(self.keys) else np.arange(len(own))
+        if len(new):
+            some = at[new]
+            words = [("\n" if x else "") + raw[s:e].decode() for s, e, x in zip(begin[some].tolist(), stop[some].tolist(), line[some].tolist())]
+            self._remember(own[new], words)
+        place = np.searchsorted(self.keys, own)[which]
+        start, count = self.begin[place], self.count[place]
+        apart = whole.copy()
+        apart[doc[count < 0]] = True
+        # the line before each text goes
+        start[first] += 1
+        count[first] -= 1
+        held = self.used
+        count[apart[doc]] = 0
+        for k in np.flatnonzero(apart & (np.diff(off) > 0)).tolist():
+            ids = np.frombuffer(self._raw(text(k)) if whole[k] else self._pieces(text(k)), self.dtype)
+            start[first[k]], count[first[k]] = self._store(ids), len(ids)
+        tail = self._store(np.array(end_id, self.dtype))
+        after = np.append(first[1:], len(doc))
+        start, count = np.insert(start, after, tail), np.insert(count, after, len(end_id))
+        upto = np.cumsum(count)
+        ids = self.ids[np.repeat(start - (upto - count), count) + np.arange(upto[-1])]
+        self.used = held  # what was put in for this call only
+        ends = upto[after + np.arange(n)]
+        return ids, np.diff(np.append(0, ends))
 
 
 def _encoder(path: str) -> Encoder:
@@ -164,13 +207,10 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = 0, text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, start = _encoder(tokenizer_path), 0
-        end = np.array([end_id], enc.dtype).tobytes()
-        for rows, _, _ in slices(batches, text_col, 3_000_000):
-            texts = [t or "" for t in rows.column(rows.schema.get_field_index(text_col)).to_pylist()]
-            raw = enc.encode(texts, end)
-            n = np.array([len(r) // enc.dtype.itemsize for r in raw], np.int64)
+        for rows, buf, text_off in slices(batches, text_col, 1_500_000):
+            ids, n = enc.encode_all(buf, text_off, end_id)
             off = np.concatenate([[0], np.cumsum(n)])
-            ids = np.frombuffer(b"".join(raw), enc.dtype).astype(np.int32)
+            ids = ids.astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in names), pa.array(off[:-1] + start), pa.array(n), lists], names=[f.name for f in out.fields])
             start += int(off[-1])
