@@ -39,7 +39,7 @@ def churn_features(signups: DataFrame, transactions: DataFrame, ad_spend: DataFr
     end = bounds.select(F.greatest(*bounds.columns).alias("_end"))
     users = signups.where(F.col("subscribed") & F.col("plan").isNotNull()).join(F.broadcast(end)).where(F.date_add("signup_date", cutoff + horizon) <= F.col("_end")).drop("_end")
     tx = transactions.select("user_id", "txn_date", "amount", "is_fraud")
-    rows = users.join(tx, "user_id", "left").withColumn("_d", F.datediff("txn_date", "signup_date"))
+    rows = users.join(tx.hint("merge"), "user_id", "left").withColumn("_d", F.datediff("txn_date", "signup_date"))
     seen = (F.col("_d") >= 0) & (F.col("_d") < cutoff)
     ahead = (F.col("_d") >= cutoff) & (F.col("_d") < cutoff + horizon)
     amount = F.when(seen, F.col("amount"))

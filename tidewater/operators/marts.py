@@ -23,9 +23,9 @@ def dim_users(signups: DataFrame) -> DataFrame:
 
 
 def fct_transactions(transactions: DataFrame, users: DataFrame) -> DataFrame:
-    """Transactions with their user's channel, plan and signup date; orphans are dropped."""
+    """Transactions with their user's channel, plan and signup date; orphans are dropped. Users are merged, never broadcast."""
     u = users.select("user_id", F.col("channel").alias("acquisition_channel"), "plan", "signup_date")
-    return transactions.join(u, "user_id").select("txn_id", "user_id", "txn_date", "amount", "is_fraud", "acquisition_channel", "plan", "signup_date")
+    return transactions.join(u.hint("merge"), "user_id").select("txn_id", "user_id", "txn_date", "amount", "is_fraud", "acquisition_channel", "plan", "signup_date")
 
 
 MEASURES = ("spend", "impressions", "clicks", "signups", "paid_signups", "txns", "revenue", "fraud_txns")

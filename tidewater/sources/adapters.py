@@ -1,4 +1,7 @@
-"""Views of the supplied parquet as the engine's raw tables; timestamps become dates here."""
+"""Views of the supplied parquet as the engine's raw tables; timestamps become dates here.
+
+Tables with a row for each user or order are merged, never broadcast: their files are far smaller than their rows, which a broadcast gathers on the driver.
+"""
 
 from __future__ import annotations
 
@@ -23,7 +26,7 @@ def signups(t: Tables) -> DataFrame:
     first = t.orders.groupBy("o_custkey").agg(F.min(F.to_date("o_orderdate")).alias("signup_date"))
     subscribed = F.col("c_acctbal") >= 0
     plan = F.when(subscribed, F.when(F.col("c_nationkey") % 2 == 0, "pro").otherwise("basic"))
-    rows = t.customer.join(first, F.col("c_custkey") == F.col("o_custkey"))
+    rows = t.customer.join(first.hint("merge"), F.col("c_custkey") == F.col("o_custkey"))
     return rows.select(F.col("c_custkey").alias("user_id"), "signup_date", F.lower("c_mktsegment").alias("channel"), subscribed.alias("subscribed"), plan.alias("plan"))
 
 
@@ -31,7 +34,7 @@ def transactions(t: Tables) -> DataFrame:
     """txn_id, user_id, txn_date, amount, is_fraud: the orders of subscribed users."""
     users = t.customer.where("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"))
     fraud = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F")
-    return t.orders.join(users, "o_custkey", "left_semi").select(
+    return t.orders.join(users.hint("merge"), "o_custkey", "left_semi").select(
         F.col("o_orderkey").alias("txn_id"), F.col("o_custkey").alias("user_id"), F.to_date("o_orderdate").alias("txn_date"), F.col("o_totalprice").alias("amount"), fraud.alias("is_fraud")
     )
 
@@ -39,8 +42,8 @@ def transactions(t: Tables) -> DataFrame:
 def ad_spend_daily(t: Tables) -> DataFrame:
     """date, channel, spend, impressions, clicks by ship date; one segment stands in for organic traffic."""
     lines = t.lineitem.select("l_orderkey", F.to_date("l_shipdate").alias("date"), "l_extendedprice", "l_discount", "l_quantity")
-    who = t.orders.select("o_orderkey", "o_custkey").join(t.customer.select("c_custkey", F.lower("c_mktsegment").alias("channel")), F.col("o_custkey") == F.col("c_custkey")).where("channel <> 'machinery'")
-    rows = lines.join(who, F.col("l_orderkey") == F.col("o_orderkey"))
+    who = t.orders.select("o_orderkey", "o_custkey").join(t.customer.select("c_custkey", F.lower("c_mktsegment").alias("channel")).hint("merge"), F.col("o_custkey") == F.col("c_custkey")).where("channel <> 'machinery'")
+    rows = lines.join(who.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.groupBy("date", "channel").agg(
         F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("spend"), F.sum("l_quantity").cast("long").alias("impressions"), F.count(F.lit(1)).alias("clicks")
     )
@@ -68,7 +71,7 @@ PANEL_POST = "1998-01-01"
 def panel(t: Tables) -> DataFrame:
     """unit (nation), time (month number), y (mean order), treated (odd nation), post (from a fixed month)."""
     month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
-    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    rows = t.orders.join(t.customer.hint("merge"), F.col("o_custkey") == F.col("c_custkey"))
     rows = rows.select(F.col("c_nationkey").alias("unit"), month.alias("time"), "o_totalprice", (F.col("c_nationkey") % 2 == 1).alias("treated"))
     split = int(PANEL_POST[:4]) * 12 + int(PANEL_POST[5:7])
     return rows.groupBy("unit", "time").agg(F.avg("o_totalprice").alias("y"), F.bool_or("treated").alias("treated")).withColumn("post", F.col("time") >= split)
@@ -81,13 +84,13 @@ def iv_rows(t: Tables) -> DataFrame:
 
 def rdd_rows(t: Tables) -> DataFrame:
     spent = t.orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("outcome"))
-    return t.customer.join(spent, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_acctbal").alias("running"), "outcome")
+    return t.customer.join(spent.hint("merge"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_acctbal").alias("running"), "outcome")
 
 
 def ipw_rows(t: Tables) -> DataFrame:
     """x (0/1), d (treated), y (0/1) of each customer with orders."""
     failed = t.orders.groupBy("o_custkey").agg(F.max((F.col("o_orderstatus") == "F").cast("int")).alias("y"))
-    return t.customer.join(failed, F.col("c_custkey") == F.col("o_custkey")).select(
+    return t.customer.join(failed.hint("merge"), F.col("c_custkey") == F.col("o_custkey")).select(
         (F.col("c_nationkey") < 12).cast("double").alias("x"), F.col("c_mktsegment").isin("BUILDING", "FURNITURE").cast("int").alias("d"), "y"
     )
 
