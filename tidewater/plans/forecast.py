@@ -8,6 +8,7 @@ from ..operators import churn
 from ..operators import forecasting as f
 from ..sources import adapters as a
 from ..sources.adapters import Tables, with_views
+from ..sources.settle import settle
 from . import warehouse
 
 SEGMENTS = ("automobile", "building", "furniture", "household", "machinery")
@@ -43,12 +44,13 @@ def split(s, d):
 
 
 def model_scores(s, d):
-    got = churn.train_pipeline(training(s, d), FEATURES)
-    return churn.predict_churn(got.model, training(s, d), FEATURES)
+    rows = settle(training(s, d))  # the joins run once, for the fits and for the scores
+    got = churn.train_pipeline(rows, FEATURES)
+    return churn.predict_churn(got.model, rows, FEATURES)
 
 
 def model_metrics(s, d):
-    got = churn.train_pipeline(training(s, d), FEATURES)
+    got = churn.train_pipeline(settle(training(s, d)), FEATURES)
     return s.createDataFrame(sorted((k, float(v)) for k, v in got.metrics.items()), "metric string, value double")
 
 
